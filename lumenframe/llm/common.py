@@ -115,3 +115,71 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def schema_of(df: DataFrame, **added: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(k, v) for k, v in added.items())])
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+#: One random number a byte value.
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n + 1 powers of the rolling hash's base and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            x = np.full(n + 1, base, dtype=np.uint64)
+            x[0] = 1
+            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Sums of hashed bytes times powers: C[j] - C[i], times the inverse's i-th power, is the hash of data[i:j]."""
+    n = len(data)
+    up, _ = powers(n)
+    out = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(BYTE_HASH[data] * up[:n], out=out[1:])
+    return out
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = powers(len(prefix) - 1)
+    return (prefix[end] - prefix[start]) * down[start]
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words of texts in a row, and where each text's words begin (one more at the end).
+
+    Words are runs of bytes other than blank and 09-0D. Two words have the same 64-bit hash with odds of 2^-64.
+    """
+    low = lower_az(data)
+    inside = np.zeros(len(data) + 1, dtype=bool)
+    inside[:-1] = (low != 32) & ((low < 9) | (low > 13))
+    begins = np.empty(len(data) + 1, dtype=bool)
+    begins[0] = inside[0]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True  # a text's first byte begins a word though the last text ended in one
+    begins[1:] = inside[1:] & (~inside[:-1] | edge[1:])
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge[1:])) + 1
+    starts = np.flatnonzero(begins)
+    hashed = mix(span_hash(prefix_hash(low), starts, ends) ^ (ends - starts).astype(np.uint64))
+    return hashed, np.searchsorted(starts, offsets)
+
+
+def counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+    n = np.concatenate(counts) if counts else np.empty(0, np.int64)
+    if not len(k):
+        return k, n
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(n[order], first)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each is there. Sorting alone is faster than np.unique with counts."""
+    k = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+    return k[first], np.diff(np.append(first, len(k)))
