@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat_format, exact_dedup, language_id, minhash, packing, sentencepiece, suffix_lm, topk_search, toxicity
+from lumenframe.llm import chat_format, exact_dedup, language_id, minhash, packing, sentencepiece, suffix_dedup, suffix_lm, topk_search, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.annotate(_table(spark, sf_dir, "documents"))
+
+
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
