@@ -6,8 +6,8 @@ is removed; texts are UTF-8 bytes and strings never cross documents.
 1. Each text is cut into contexts: runs of string starts whose strings have the same least 16-byte gram hash. Equal strings
    have the same least gram, so they meet under one anchor. Contexts that are equal under an anchor are put together before and
    after the shuffle: all but the first are repeats whole.
-2. Of an anchor with two contexts or more, and one that occurs several times, the first context of each kind gets its bytes and
-   is dealt by anchor. An anchor of very many different contexts is dealt by string instead, so that no task holds it alone.
+2. Of an anchor that occurs several times, or whose one context may hold a string twice, the first context of each kind gets
+   its bytes and is dealt by anchor. An anchor of very many different contexts is dealt by string instead, so that no task holds it alone.
 3. A task takes contexts in batches of bounded size, ordered by where they stand. A batch is dealt into shards; each shard's
    rotations are sorted and give its Burrows-Wheeler transform. The transforms are merged by interleave refinement: an
    interleave says which shard the next row comes from; a pass sorts it stably by the symbols before its rows, which orders it by
@@ -42,14 +42,20 @@ def _blocks(data: np.ndarray, size: int) -> np.ndarray:
     return np.ndarray((len(data),), f">u{size}", round_.tobytes(), 0, (1,)).astype(np.uint64)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in a row: each context's text, first start in it, number of starts, anchor, and hash."""
+def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Of texts in a row: each context's text, first start in it, number of starts, anchor, hash, and whether it may hold a
+    string twice.
+
+    Two equal strings of a context, p bytes apart, hold the anchor's gram in the same places; the last one in the first string
+    is followed by one p bytes on, which enters at the end of a string after the first. So only where a string that is not the
+    first ends in the anchor's gram can there be two.
+    """
     n, none = len(data), np.empty(0, np.int64)
     if n < width:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     eight = np.ndarray((n - 7,), "<u8", data.tobytes(), 0, (1,)).astype(np.uint64)
     grams = mix(eight[: n - GRAM + 1] * np.uint64(0x9FB21C651E98DF25) + mix(eight[GRAM - 8 :]))
-    left, span = width - GRAM + 1, 1
+    left, span, single = width - GRAM + 1, 1, grams
     while span * 2 <= left:
         grams = np.minimum(grams[:-span], grams[span:])
         span *= 2
@@ -62,6 +68,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     np.add.at(whole, offsets[1:][long_] - width + 1, -1)
     whole = np.cumsum(whole[:-1]) > 0
     fresh = np.concatenate([[True], (grams[1:] != grams[:-1]) | ~whole[:-1]]) & whole
+    twice = np.concatenate([[0], np.cumsum((single[left - 1 :] == grams) & whole & ~fresh)])
     starts = np.flatnonzero(fresh)
     ends = np.append(starts[1:], len(grams))
     stops = np.flatnonzero(whole & ~np.append(whole[1:], False)) + 1
@@ -73,7 +80,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         starts, ends = starts[again] + number * RUN, np.minimum(ends[again], starts[again] + (number + 1) * RUN)
     text = np.searchsorted(offsets, starts, side="right") - 1
     hashes = mix(span_hash(prefix_hash(data), starts, ends + width - 1))
-    return text, starts - offsets[text], ends - starts, grams[starts], hashes
+    return text, starts - offsets[text], ends - starts, grams[starts], hashes, twice[ends] > twice[starts]
 
 
 def _joined(document: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +100,10 @@ def _joined(document: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int =
 _PLACES = "a long, c long, _d long, p long"
 
 
-def _pack(copy: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Copy number, start and number of starts (RUN at most; 0: a removed span, whose end is in c) in one number that sorts so."""
-    return (copy << 42) | (start << 10) | many
+def _pack(copy: np.ndarray, start: np.ndarray, many: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Copy number, start, whether a string may be there twice, and number of starts (RUN at most; 0: a removed span, whose end
+    is in c) in one number that sorts so."""
+    return (copy << 43) | (start << 11) | (twice.astype(np.int64) << 10) | many
 
 
 def _anchored(docs: DataFrame, width: int) -> DataFrame:
@@ -105,7 +113,7 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, copies = (batch.column(k).to_numpy() for k in (0, 1))
             for i, j, data, offsets in text_chunks(batch):
-                text, start, many, anchor, hashed = contexts(data, offsets, width)
+                text, start, many, anchor, hashed, twice = contexts(data, offsets, width)
                 if not len(text):
                     continue
                 document, copy = ids[i:j][text], copies[i:j][text].astype(np.int64)
@@ -120,7 +128,7 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
                     np.concatenate([anchor[keep].view(np.int64), mix((ids[i:j][t] + s).astype(np.uint64)).view(np.int64)]),
                     np.concatenate([hashed[keep].view(np.int64), e]),
                     np.concatenate([document[keep], ids[i:j][t]]),
-                    np.concatenate([_pack(copy[keep], start[keep], many[keep]), _pack(copies[i:j][t].astype(np.int64), s, np.zeros_like(s))]),
+                    np.concatenate([_pack(copy[keep], start[keep], many[keep], twice[keep]), _pack(copies[i:j][t].astype(np.int64), s, np.zeros_like(s), np.zeros(len(s), bool))]),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["a", "c", "_d", "p"])
 
@@ -143,13 +151,13 @@ def _sifted(anchored: DataFrame, width: int) -> DataFrame:
             same = (a[1:] == a[:-1]) & ~span[1:] & ~span[:-1]
             same_a = np.concatenate([[before[0]], same])
             same_c = np.concatenate([[before[1]], same & (c[1:] == c[:-1])])
-            first = ~same_c & (same_a | np.append(same, False)) & ~span
+            first = ~same_c & (same_a | np.append(same, False) | (p & 1024 > 0)) & ~span
             out = np.arange(len(a)) if last else np.arange(len(a) - 1)
             held, before = [y[-1:] for y in x], (bool(same_a[-1]), bool(same_c[-1]))
             out = out[(first | same_c | span)[out]]
-            start = (p[out] >> 10) & 0xFFFFFFFF
+            start = (p[out] >> 11) & 0xFFFFFFFF
             end = np.where(span[out], c[out], start + many[out] + width - 1)
-            return pa.RecordBatch.from_arrays([pa.array(a[out], mask=~first[out]), pa.array(d[out]), pa.array((p[out] >> 42).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(a[out], mask=~first[out]), pa.array(d[out]), pa.array((p[out] >> 43).astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=schema)
 
         for batch in batches:
             if batch.num_rows:

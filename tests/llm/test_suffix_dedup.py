@@ -46,6 +46,17 @@ def got(spark, rows, **extra):
     return out
 
 
+@pytest.mark.parametrize("period", [1, 2, 4, 17, 60, 99, 100, 101, 300])
+def test_one_periodic_text(spark, period):
+    r = random.Random(period)
+    unit = "".join(r.choice("abcdefgh ") for _ in range(period))
+    rows = [(n, (unit * 500)[:n]) for n in (99 + period,)] if period < 5 else [(1, (unit * 40)[: 100 + 2 * period + 7])]
+    rows.append((5000, "".join(r.choice("ABCDEFGH") for _ in range(150))))
+    assert got(spark, rows) == brute(rows)
+    rows = [(k, "".join(r.choice("ABCDEFGH") for _ in range(30)) + "".join(r.choice("XYZ") for _ in range(period)) * k) for k in range(1, 30, 4)]
+    assert got(spark, rows) == brute(rows)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
@@ -59,7 +70,7 @@ def test_small_shards_and_runs(monkeypatch):
     monkeypatch.setattr(sd, "RUN", 40)
     want, data = brute(rows), [(t or "").encode() for _, t in rows]
     gone = [np.zeros(len(x), bool) for x in data]
-    text, start, many, anchor, _ = sd.contexts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 100)
+    text, start, many, anchor, *_ = sd.contexts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 100)
     for a in np.unique(anchor):
         of = np.flatnonzero(anchor == a)
         of = of[np.lexsort((start[of], text[of]))]
