@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,8 @@ class Pieces:
         #: Blanks are kept as blanks here; a U+2581 in a text is an unknown character and goes by its bytes.
         self.id = {names[i].replace(BLANK, " "): i for i in normal}
         self.value = {p: (i, self.score[i]) for p, i in self.id.items()}
-        self.prefixes = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        #: Pieces with id and score, and what pieces begin with, without.
+        self.begun = {p[:k]: None for p in self.id for k in range(1, len(p))} | self.value
         self.longest = max(map(len, self.id))
         self.byte = {int(names[i][1:-1], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown = min(self.score.values()) - 10
@@ -97,27 +99,34 @@ class Viterbi:
         self.text, self.score, self.back, self.done = "", [0.0], [(-1, -1)], 0
         return out
 
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text short enough to be its own window."""
+        self.text = text
+        return self.close()
+
     def _try(self, to: int) -> None:
-        text, score, back, value, prefixes, longest = self.text, self.score, self.back, self.pieces.value, self.pieces.prefixes, self.pieces.longest
+        text, score, back, begun, longest = self.text, self.score, self.back, self.pieces.begun, self.pieces.longest
         missing = len(text) + 1 - len(score)
         if missing > 0:
             score += [None] * missing
             back += [(-1, -1)] * missing
+        size = len(text)
         for i in range(self.done, to):
             base = score[i]
             if base is None:
                 continue
-            single = False
-            for j in range(i + 1, min(i + longest, len(text)) + 1):
-                part = text[i:j]
-                if part not in prefixes:
-                    break
-                found = value.get(part)
-                if found is not None:
-                    single |= j == i + 1
+            j, single, most = i + 1, False, min(i + longest, size)
+            while j <= most:
+                found = begun.get(text[i:j], 0)
+                if found:
+                    if j == i + 1:
+                        single = True
                     s = base + found[1]
                     if score[j] is None or s > score[j]:
                         score[j], back[j] = s, (i, found[0])
+                elif found == 0:
+                    break
+                j += 1
             if not single:
                 s = base + self.pieces.unknown
                 if score[i + 1] is None or s > score[i + 1]:
@@ -142,18 +151,23 @@ class Viterbi:
         return out
 
     def _ids(self, end: int) -> list[int]:
-        out: list[list[int]] = []
+        out: list[int] = []  # from the last
         while end > 0:
             start, i = self.back[end]
-            out.append([i] if i >= 0 else [self.pieces.byte[b] for b in self.text[start:end].encode("utf-8", "surrogatepass")])
+            if i >= 0:
+                out.append(i)
+            else:
+                out += [self.pieces.byte[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass"))]
             end = start
-        return [i for part in reversed(out) for i in part]
+        return out[::-1]
 
 
 class Encoder:
     def __init__(self, path: str, scores: str = "zipf"):
         self.pieces = Pieces.of(path, scores)
         self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}  # what was known before that
+        self.stream = Viterbi(self.pieces)
 
     def units(self, text: str) -> list[str]:
         """The parts of a blank and the text that no piece reaches across."""
@@ -179,22 +193,23 @@ class Encoder:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
+        if len(self.known) > REMEMBERED:
+            self.last, self.known = self.known, {}
+        known, last, out = self.known, self.last, []
         for unit in self.units(text):
             ids = known.get(unit)
             if ids is None:
-                ids = self._viterbi(unit)
                 if len(unit) <= LONG_UNIT:
-                    known[unit] = ids
+                    ids = known[unit] = last.get(unit) or self._viterbi(unit)
+                else:
+                    ids = self._viterbi(unit)
             out.append(ids)
         return b"".join(out)
 
     def _viterbi(self, unit: str) -> bytes:
-        stream = Viterbi(self.pieces)
-        return np.array(stream.push(unit) + stream.close(), dtype="<u4").tobytes()
+        stream = self.stream
+        ids = stream.whole(unit) if len(unit) <= LONG_UNIT else stream.push(unit) + stream.close()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def decode(self, ids: bytes) -> str:
         table = self.pieces.bytes
