@@ -11,8 +11,8 @@ is removed; texts are UTF-8 bytes and strings never cross documents.
 3. A task takes contexts in batches of bounded size, ordered by where they stand. A batch is dealt into shards; each shard's
    rotations are sorted and give its Burrows-Wheeler transform. The transforms are merged by interleave refinement: an
    interleave says which shard the next row comes from; a pass sorts it stably by the symbols before its rows, which orders it by
-   one symbol more (here, a symbol is a block of 8 bytes, the first of 4). No suffix is compared with another again. Where
-   neighbours still agree after `width` bytes their common prefix is that long: those are the repeated intervals. Of each, the
+   one symbol more (here, a symbol is a block of 32 bytes, the first one of what is left of `width`). No suffix is compared with
+   another again. Where neighbours still agree after `width` bytes their common prefix is that long: those are the repeated intervals. Of each, the
    least position is the first; the others are repeats.
 
 Defined results: a null text is empty; a null doc_id comes last; rows of one doc_id are separate documents, ordered by text;
@@ -32,14 +32,11 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import cut, keyed, mix, prefix_hash, real_id, span_hash, text_chunks
 
 GRAM = 16
-#: Starts of a context at most, contexts of an anchor beyond which it is dealt by string, bytes of a batch and of a shard.
-RUN, MANY, BATCH, SHARD = 512, 20_000, 4 << 20, 1 << 20
-
-
-def _blocks(data: np.ndarray, size: int) -> np.ndarray:
-    """At each position the next `size` (4 or 8) bytes as a number that sorts as they do, going round at the end."""
-    round_ = np.concatenate([data, np.resize(data, size)]) if len(data) else np.zeros(size, np.uint8)
-    return np.ndarray((len(data),), f">u{size}", round_.tobytes(), 0, (1,)).astype(np.uint64)
+#: Starts of a context at most, contexts of an anchor beyond which it is dealt by string, bytes of a batch and of a shard, and
+#: of texts looked at in one go.
+RUN, MANY, BATCH, SHARD, TEXTS = 512, 5_000, 1 << 19, 1 << 17, 1 << 20
+#: Bytes of a symbol of the transforms.
+SYMBOL = 32
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -112,7 +109,7 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, copies = (batch.column(k).to_numpy() for k in (0, 1))
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, data, offsets in text_chunks(batch, most=TEXTS):
                 text, start, many, anchor, hashed, twice = contexts(data, offsets, width)
                 if not len(text):
                     continue
@@ -204,41 +201,66 @@ def _with_bytes(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
     return docs.join(wanted, ["_d", "_c"]).select("_d", "_c", "text", "of").mapInArrow(run, "a long, _d long, _c int, s int, bytes binary")
 
 
-def rotations(data: np.ndarray) -> np.ndarray:
-    """Where the rotations of data start, in their order: prefixes of 8 bytes, then of twice as many as before."""
-    n = len(data)
-    key, seen = _blocks(data, 8), 8
-    while True:
+def _fours(data: np.ndarray) -> np.ndarray:
+    """At each position the next four bytes as a number that sorts as they do, going round at the end."""
+    return np.ndarray((len(data),), ">u4", np.concatenate([data, np.resize(data, 4)]).tobytes(), 0, (1,)).astype(np.uint64)
+
+
+def _ranked(high: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of ranks (or of numbers below 2^32), and each one's rank among the different ones."""
+    n, bits = len(high), np.uint64(len(high).bit_length())
+    wide = np.uint64(int(max(high.max(), low.max())).bit_length()) if low is not None and n else np.uint64(0)
+    if low is None or 2 * int(wide) + int(bits) <= 64:  # sorted with their places, which is faster than sorting places
+        key = np.sort(((high if low is None else (high << wide) | low) << bits) | np.arange(n, dtype=np.uint64))
+        order = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        key >>= bits
+    else:
+        key = (high << np.uint64(32)) | low
         order = np.argsort(key)
-        own = key[order]
-        new = np.concatenate([[False], own[1:] != own[:-1]])
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        key = key[order]
+    rank = np.empty(n, dtype=np.uint64)
+    new = np.zeros(n, dtype=np.uint64)
+    new[1:] = key[1:] != key[:-1]
+    rank[order] = np.cumsum(new, dtype=np.uint64)
+    return order, rank
+
+
+def rotations(rank: np.ndarray, seen: int) -> np.ndarray:
+    """Where the rotations of a shard start, in their order, from the ranks of their first `seen` bytes: prefixes of twice as
+    many bytes until all differ."""
+    n = len(rank)
+    while True:
+        order, rank = _ranked(rank, np.roll(rank, -(seen % n)))
+        seen *= 2
         if seen >= n or int(rank[order[-1]]) == n - 1:
             return order
-        key = (rank << np.uint64(32)) | np.roll(rank, -(seen % n))
-        seen *= 2
 
 
 def merge(shards: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in all shards, one after another) in the order of the `width` bytes from there on (going round within the
-    shard), and whether each differs in them from the one before it. width is 4 more than a multiple of 8.
+    shard), and whether each differs in them from the one before it.
     """
     sizes = [len(x) for x in shards]
     begins = np.cumsum([0, *sizes[:-1]])
-    orders = [rotations(x) for x in shards]
-    every = np.concatenate([_blocks(x, 8) for x in shards])
-    _, ranks = np.unique(every, return_inverse=True)
-    # transforms: the 8 (and 4) bytes before each rotation of a shard, in the shard's order
-    by_eight = np.concatenate([ranks[b : b + n][(o - 8) % n] for b, n, o in zip(begins, sizes, orders, strict=True)]).astype(np.uint64)
-    by_four = np.concatenate([_blocks(x, 4)[(o - 4) % len(x)] for x, o in zip(shards, orders, strict=True)])
+    slices = [slice(b, b + n) for b, n in zip(begins, sizes, strict=True)]
+    ahead = lambda x, k: np.concatenate([np.roll(x[s], -(k % (s.stop - s.start))) for s in slices])
+    rank, size = {4: _ranked(np.concatenate([_fours(x) for x in shards]))[1]}, 4
+    while size < SYMBOL:
+        rank[2 * size] = _ranked(rank[size], ahead(rank[size], size))[1]
+        size *= 2
+    first = (width - 4) % SYMBOL + 4  # of 4 to 35 bytes, then whole symbols
+    size = max(k for k in rank if k <= first)
+    opening = rank[size] if size == first else _ranked(rank[size], ahead(rank[size], first - size))[1]
+    orders = [rotations(rank[SYMBOL][s], SYMBOL) for s in slices]
+    # the transforms: the symbol before each rotation of a shard, in the shard's order
+    before = lambda x, k: np.concatenate([x[s][(o - k) % len(o)] for s, o in zip(slices, orders, strict=True)])
     interleave = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), sizes)
     total = len(interleave)
     row, block = np.arange(total, dtype=np.uint64), np.zeros(total, dtype=np.int32)
-    differs = np.zeros(total, dtype=bool)
-    symbols = np.empty(total, dtype=np.uint64)
-    for step in range((width - 4) // 8 + 1):
-        symbols[np.argsort(interleave, kind="stable")] = by_eight if step else by_four
+    differs, symbols = np.zeros(total, dtype=bool), np.empty(total, dtype=np.uint64)
+    transforms = [before(opening, first), *[before(rank[SYMBOL], SYMBOL)] * ((width - first) // SYMBOL)]
+    for transform in transforms:
+        symbols[np.argsort(interleave, kind="stable")] = transform
         key = np.sort((symbols << np.uint64(32)) | row)
         after = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         key >>= np.uint64(32)
@@ -255,21 +277,22 @@ def merge(shards: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]
 def repeats(texts: list[bytes], width: int) -> np.ndarray:
     """Of contexts in the order of where they stand: numbers of the bytes, counted through all, at which a string starts that
     also starts earlier."""
+    # mixed, as contexts in order go on alike after one another where documents are alike, and long prefixes take more passes
+    mixed = np.random.default_rng(0).permutation(len(texts))
     lengths = np.array([len(x) for x in texts])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(lengths)
+    shift = (np.cumsum(lengths) - lengths)[mixed]
+    lengths = lengths[mixed]
+    data, ends = np.frombuffer(b"".join(texts[k] for k in mixed.tolist()), np.uint8), np.cumsum(lengths)
+    shift = np.repeat(shift - (ends - lengths), lengths)
     room = np.repeat(ends, lengths) - np.arange(len(data)) >= width  # the string lies in one context
-    shards, first, at = [], 0, 0
+    shards, first = [], 0
     for end in ends.tolist():
-        at = end
-        if at - first >= SHARD:
-            shards.append(data[first:at])
-            first = at
-    if at > first:
-        shards.append(data[first:at])
+        if end - first >= SHARD or end == len(data):
+            shards.append(data[first:end])
+            first = end
     position, differs = merge(shards, width)
     interval = np.flatnonzero(differs)
-    own = np.where(room[position], position, len(data))
+    own = np.where(room[position], position + shift[position], len(data))
     least = np.minimum.reduceat(own, interval)
     return np.sort(own[(own < len(data)) & (own != least[np.cumsum(differs) - 1])])
 
@@ -322,8 +345,8 @@ def _merged(with_bytes: DataFrame, width: int) -> DataFrame:
 
 def spans(docs: DataFrame, width: int = 100) -> DataFrame:
     """Removed spans (_d, _c, s, e), which may overlap, of rows (_d, _c, text) as keyed() gives them."""
-    if width % 8 != 4 or width < GRAM:
-        raise ValueError("width is to be 4 more than a multiple of 8, and a gram at least")
+    if width < GRAM:
+        raise ValueError("width is to be a gram at least")
     found = cut(_sifted(_anchored(docs, width), width), "sifted")
     firsts = found.filter("a IS NOT NULL")
     return found.filter("a IS NULL").drop("a").unionAll(_merged(_with_bytes(docs, firsts, width), width))

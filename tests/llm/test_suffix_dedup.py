@@ -84,17 +84,18 @@ def test_small_shards_and_runs(monkeypatch):
         assert int(x.sum()) == want[doc_id][0][1], doc_id
 
 
-def test_merge_orders_like_sorting():
+@pytest.mark.parametrize("width", [16, 17, 20, 36, 39, 64, 100])
+def test_merge_orders_like_sorting(width):
     r = np.random.default_rng(1)
     shards = [r.integers(97, 100, n).astype(np.uint8) for n in (500, 1, 37, 900)]
-    position, differs = sd.merge(shards, 20)
+    position, differs = sd.merge(shards, width)
     begins = np.cumsum([0, *map(len, shards[:-1])])
 
     def head(p):
         k = int(np.searchsorted(begins, p, side="right") - 1)
         x = shards[k].tobytes()
         at = int(p - begins[k])
-        return (x[at:] + x * 21)[:20]
+        return (x[at:] + x * (width + 1))[:width]
 
     heads = [head(p) for p in position]
     assert sorted(position.tolist()) == list(range(sum(map(len, shards))))
