@@ -134,11 +134,11 @@ def _(spark, d):
 
 # joins
 
-_CO = "(SELECT * FROM customer WHERE c_acctbal > 0) c {how} JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'F') o ON c_custkey = o_custkey"
+_CO = "(SELECT * FROM customer WHERE c_acctbal > 0) c {how} JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey"
 
 
 def _sides(spark, d):
-    return table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey")
+    return table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_totalprice > 400000").select("o_custkey", "o_orderkey")
 
 
 for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL OUTER")):
@@ -149,13 +149,13 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("o
         return O.join(a, b, ["c_custkey"], ["o_custkey"], how)
 
 
-@query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F')")
+@query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(spark, d):
     a, b = _sides(spark, d)
     return O.join(a, b, ["c_custkey"], ["o_custkey"], "left_semi")
 
 
-@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F')")
+@query("join_anti", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def _(spark, d):
     a, b = _sides(spark, d)
     return O.join(a, b, ["c_custkey"], ["o_custkey"], "left_anti")
