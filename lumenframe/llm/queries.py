@@ -96,7 +96,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
-@query("op9_chat_format")
+#: What escaping lengthens by one: a control string, or one escaped already.
+_CONTROL = "|".join(rf"{a}\\*{b}" for a, b in (("<", "s>"), ("<", "/s>"), (r"\[", r"INST\]"), (r"\[", r"/INST\]"), (r"\[", r"ROLE\]"), (r"\[", r"/ROLE\]"), (r"\[", r"IMAGE\]"), (r"\[", r"AUDIO\]"), (r"\[", r"DOCUMENT\]")))
+
+
+@query(
+    "op9_chat_format",
+    rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        s AS (SELECT *, length(role) + len(regexp_extract_all(role, '{_CONTROL}')) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + 13 + CASE WHEN role = 'assistant' THEN 4 ELSE 13 END AS n FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, (sum(n) + 3)::BIGINT AS formatted_chars FROM s GROUP BY conv_id""",
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
