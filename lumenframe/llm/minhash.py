@@ -1,12 +1,19 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, signature verification, exact confirmation, components.
 
-A document's set is its distinct five-word shingles; documents of one set are one class. Classes whose signatures agree in a
-band are candidates. No bucket is expanded into its pairs: in rounds, a few pivots of each bucket meet its other members; a
-pivot's pair goes on only if the two are not in one component yet, the signatures agree as often as they would at the
-threshold (less five standard errors), and the full sets then have the similarity asked for. Components are renewed after a
-round, pivots leave their buckets, buckets within one component go, and the number of pivots doubles. So every pair of a bucket
-is either compared or already connected, and no link between different texts is lost once its pair shares a bucket; with 32
-bands of 4 minima a pair of similarity 0.75 shares none with odds of 5e-6.
+A document's set is its distinct five-word shingles; documents of one set are one class. Classes that agree in a band are
+candidates. A bucket's pairs are looked at in blocks of bounded size, signature against signature, and are not emitted:
+
+1. In passes, each over a part of the buckets: of the alike pairs not in one component yet, each class keeps two, with the
+   first surely similar class of its block and with the one most alike. Confirmed on the full sets, these few links connect
+   most of what belongs together.
+2. Of the pairs not in one component by then, all that are alike go on, a pair in several buckets from the first, and are
+   confirmed.
+
+Signatures that are compared have 1024 minima, a byte of each, and are made only of classes that share a bucket. Alike are those
+that agree as often as they would at the threshold less 4.5 standard errors; surely similar, at two above it.
+
+So every pair of a bucket is compared, ruled out by its signatures, or connected already. With 32 bands of 4 minima a pair of
+similarity 0.75 shares no bucket with odds of 5e-6, and fails in signature with odds of 3e-6.
 
 Defined results: null or empty texts, or without words, have no shingles and are linked with nothing; a null doc_id sorts last,
 is its own smallest only where no other is reached, and component_id is null then; rows with one doc_id are one document as
@@ -19,18 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import cut, drop, mix, text_chunks, whole_text, words
 from lumenframe.llm.components import components
 
 BANDS, ROWS, WIDTH = 32, 4, 5
-HASHES = BANDS * ROWS
+#: Minima of a signature.
+HASHES = 1024
+#: Classes of a block: pairs within a bucket are looked at block by block.
+BLOCK = 2048
+#: Passes of the first part.
+PASSES = 2
 #: Documents without an id get one from here on, by their text.
 NAMELESS = 2**62
 _seeds = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_A, _B = _seeds[:HASHES] | np.uint64(1), _seeds[HASHES:]
+_A, _B = _seeds[::2] | np.uint64(1), _seeds[1::2]
 _P = np.array([pow(0xD1342543DE82EF95, k, 2**64) for k in range(WIDTH + 1)], dtype=np.uint64)
 
 
@@ -57,17 +69,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The high half of each universal hash's minimum over a set."""
-    least = np.full(HASHES, 2**64 - 1, dtype=np.uint64)
-    for k in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[k : k + 1024, None] * _A + _B).min(0), out=least)
+def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """The high half of each of the first universal hashes' minimum over a set."""
+    least, a, b = np.full(hashes, 2**64 - 1, dtype=np.uint64), _A[:hashes], _B[:hashes]
+    step = (1 << 17) // hashes
+    for k in range(0, len(shingles), step):
+        np.minimum(least, (shingles[k : k + step, None] * a + b).min(0), out=least)
     return least >> np.uint64(32)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node, n_shingles, h1, h2 (128 bits that stand for the set), signature (a byte of each minimum), bands."""
-    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("signature", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """node, n_shingles, h1, h2 (128 bits that stand for the set), bands."""
+    schema = pa.schema([("node", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64()))])
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,38 +89,95 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(data, offsets)
                 h1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 h2 = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                full = np.array([minima(s) if len(s) else np.zeros(HASHES, np.uint64) for s in sets], dtype=np.uint64).reshape(j - i, HASHES)
-                grouped = full.reshape(j - i, BANDS, ROWS)
+                grouped = np.array([minima(s, BANDS * ROWS) if len(s) else np.zeros(BANDS * ROWS, np.uint64) for s in sets], dtype=np.uint64).reshape(j - i, BANDS, ROWS)
                 bands = mix((grouped * _P[1 : ROWS + 1]).sum(2, dtype=np.uint64) ^ salt).view(np.int64)
                 lists = [b if len(s) else [] for b, s in zip(bands, sets, strict=True)]
-                signature = (full & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(node(docs).alias("node"), whole_text(docs).alias("text")).mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, signature binary, bands array<long>")
+    return docs.select(node(docs).alias("node"), whole_text(docs).alias("text")).mapInArrow(run, "node long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, shingles) of the documents that are in some bucket."""
+    """(node, shingles, signature) of the documents that are in some bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], names=["node", "shingles"])
-
-    return docs.select(node(docs).alias("node"), whole_text(docs).alias("text")).join(members.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles binary")
-
-
-def _likely(pairs: DataFrame, signatures: DataFrame, agree: int) -> DataFrame:
-    """Pairs whose signatures agree in so many places."""
-    p, m = (signatures.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}")) for x in "pm")
+                sets = shingle_sets(data, offsets)
+                signatures = [(minima(s, HASHES) & np.uint64(255)).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(signatures, pa.binary())], names=["node", "shingles", "signature"])
+
+    return docs.select(node(docs).alias("node"), whole_text(docs).alias("text")).join(members.select("node").distinct(), "node", "left_semi").mapInArrow(run, "node long, shingles binary, signature binary")
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members by cells of bounded size: a bucket's blocks against each other, the larger number of the two first."""
+    sized = members.join(members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "band")
+    own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return own.select("band", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), "own", "node", "component", "signature", "bands")
+
+
+def _alike(cells: DataFrame, agree: int, sure: int | None = None) -> DataFrame:
+    """(p, m): pairs of a cell in different components that agree in `agree` minima at least, each from the first band it shares.
+
+    With `sure`: of each class only the pairs with the most alike one before it, and with the first that agrees in so many.
+    """
+    schema = pa.schema([("p", pa.int64()), ("m", pa.int64())])
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        band, i, j, own, node, component = (rows[c].to_numpy() for c in ("band", "i", "j", "own", "node", "component"))
+        signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        cell, found = np.cumsum(new), []
+        alive, step = np.arange(len(node)), 0
+        while True:
+            step += 1
+            alive = alive[alive + step < len(node)]
+            alive = alive[cell[alive] == cell[alive + step]]
+            if not len(alive):
+                break
+            x, y = alive, alive + step
+            # two blocks of a bucket meet in one cell, the pairs within each in another
+            good = (component[x] != component[y]) & ((own[x] != own[y]) | (i[x] == j[x]))
+            x, y = x[good], y[good]
+            for k in range(0, len(x), 4096):
+                u, v = x[k : k + 4096], y[k : k + 4096]
+                same = (signature[u] == signature[v]).sum(1)
+                likely = same >= agree
+                u, v, same = u[likely], v[likely], same[likely]
+                if sure is None and len(u):
+                    common = bands[u] == bands[v]
+                    once = bands[u, common.argmax(1)] == band[u]
+                    u, v, same = u[once], v[once], same[once]
+                found.append((u, v, same))
+        u, v, same = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+        if sure is not None and len(u):
+            chosen = []
+            for order in (np.lexsort((u, same < sure, v)), np.lexsort((u, -same, v))):
+                own = v[order]
+                chosen.append(order[np.concatenate([[True], own[1:] != own[:-1]])])
+            chosen = np.unique(np.concatenate(chosen))
+            u, v = u[chosen], v[chosen]
+        a, b = node[u], node[v]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
-            keep = pa.array((a == b).sum(1) >= agree)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["p", "m"]).filter(keep)
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            key = np.stack([rows[c].to_numpy() for c in ("band", "i", "j")])
+            changes = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+            done = int(changes[-1]) + 1 if len(changes) else 0  # the last cell may go on
+            if done:
+                yield pairs(rows.slice(0, done))
+            held = rows.slice(done).combine_chunks().to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held))
 
-    return pairs.join(m, "m").join(p, "p").select("p", "m", "sp", "sm").mapInArrow(run, "p long, m long")
+    return cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node").mapInArrow(run, "p long, m long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,54 +200,52 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(m, "m").join(p, "p").select("p", "m", "sp", "sm").mapInArrow(run, "u long, v long")
 
 
-def _pairs(live: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """(p, m) of each bucket's first `pivots` members and those after them in other components; the members left over."""
-    first = live.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node"))).filter(F.col("rank") <= pivots)
-    heads = first.select("band", F.col("node").alias("p"), F.col("component").alias("of"))
-    pairs = live.join(heads, "band").filter((F.col("p") < F.col("node")) & (F.col("of") != F.col("component"))).select("p", F.col("node").alias("m")).distinct()
-    last = first.groupBy("band").agg(F.max("node").alias("last"))
-    rest = live.join(last, "band").filter("node > last").select("band", "node")
-    return pairs, rest
+def _labelled(rows: DataFrame, labels: DataFrame | None, key: str = "node", name: str = "component") -> DataFrame:
+    """rows with the component of their node, which is its own until it is linked."""
+    if labels is None:
+        return rows.withColumn(name, F.col(key))
+    found = labels.select(F.col("node").alias(key), F.col("component").alias(name))
+    return rows.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
 
-def annotate(docs: DataFrame, percent: int = 75, pivots: int = 2) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept, and the keys node and component."""
-    sketch = cut(sketches(docs), "sketches")
-    classes = cut(sketch.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
+def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """Components (node, component) of the classes, without the smallest of each; None if no two are linked."""
     band = classes.select(F.explode("bands").alias("band"), "node")
     shared = band.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band")
     members = cut(band.join(shared, "band"), "members")
+    if members.isEmpty():
+        return None
+    sets = cut(_sets(docs, members), "sets")
+    sketched = sets.select("node", "signature").join(classes.select("node", "bands"), "node")
     share = percent / 100
-    agree = int(HASHES * share - 5 * (HASHES * share * (1 - share)) ** 0.5)
-    labels, links, sets, signatures = None, None, None, None
-    while True:
-        if labels is None:
-            live = members.withColumn("component", F.col("node"))
-        else:
-            known = members.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-            several = known.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
-            live = cut(known.join(several, "band"), "live")
-        if live.isEmpty():
-            break
-        if sets is None:
-            sets = cut(_sets(docs, members), "sets")
-            signatures = cut(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "signature"), "signatures")
-        pairs, rest = _pairs(live, pivots)
-        likely = cut(_likely(pairs, signatures, agree), "likely")
-        new = cut(_linked(likely, sets, percent), "linked")
-        links = new if links is None else links.unionAll(new)
+    error = (HASHES * share * (1 - share)) ** 0.5
+    agree, sure = int(HASHES * share - 4.5 * error), int(HASHES * share + 2 * error)
+    links, labels = None, None
+
+    def live(some: DataFrame) -> DataFrame:
+        known = _labelled(some, labels)
+        several = known.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("band")
+        return _cells(known.join(several, "band").join(sketched, "node"))
+
+    def confirm(pairs: DataFrame) -> None:
+        nonlocal links, labels
+        new = cut(_linked(pairs, sets, percent), "linked")
         if not new.isEmpty():
+            links = new if links is None else links.unionAll(new)
             labels = components(links)
-        members = cut(rest, "members")
-        drop(likely)
-        pivots *= 2
-    if sets is not None:
-        drop(sets)
-    found = classes.select("h1", "h2", "node")
-    if labels is not None:
-        found = found.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    else:
-        found = found.select("h1", "h2", F.col("node").alias("component"))
+
+    for k in range(PASSES):
+        confirm(_alike(live(members.filter(F.pmod("band", F.lit(PASSES)) == k)), agree, sure).distinct())
+    confirm(_alike(live(members), agree).distinct())
+    drop(sets)
+    return labels
+
+
+def annotate(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and the keys node and component."""
+    sketch = cut(sketches(docs), "sketches")
+    classes = cut(sketch.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "classes")
+    found = _labelled(classes.select("h1", "h2", "node"), _links(docs, classes, percent)).select("h1", "h2", "component")
     joined = sketch.select("node", "n_shingles", "h1", "h2").join(found, ["h1", "h2"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("node")))
     named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
     return joined.select(named("node").alias("doc_id"), "n_shingles", named("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept"), "node", "component")
