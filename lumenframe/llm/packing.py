@@ -24,20 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import arrow_schema, cut, whole_text
+from lumenframe.llm.common import arrow_schema, cut, text_chunks, whole_text
 
-#: Words a worker remembers the ids of; beyond it, it forgets them all and starts anew.
+#: Words of a generation that a worker remembers the ids of; beyond it, a new one begins, and what the last one holds is
+#: taken over as it is met again.
 REMEMBERED = 300_000
 #: White space as the tokenizer's \s has it: Python's own also has the separators 1C-1F.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_OWN = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Latin letters (but for those whose lower case is two characters), then punctuation.
+_TAILED = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-/:-@\[-`{-~]*)")
+#: Lower-case Latin letters that are one code point however normalised.
+_LOWER = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+")
+_OWN = re.compile(r"[\x1c-\x1f]")
 
 
 class WordIds:
     """Ids of a text by a tokenizer whose normaliser and pre-tokeniser never look across white space and drop it.
 
     So a text's ids are those of its words, one after another, and a word's ids need computing once. Bytes are ids as
-    little-endian unsigned 32-bit numbers. New words are encoded many at a time, joined by a special token.
+    little-endian unsigned 32-bit numbers. New words are encoded many at a time: those of plain lower-case letters joined by
+    blanks, by a copy without normaliser and pattern, which leave them alone - each has one token that ends a word; others joined
+    by a special token.
     """
 
     made: dict[str, WordIds] = {}
@@ -46,10 +53,28 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = self._without_rules(path)
         self.known: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
         special = next(iter(sorted(self.tokenizer.get_added_tokens_decoder().items(), reverse=True)), None)
         self.mark, self.mark_id = (special[1].content, special[0]) if special else (None, -1)
 
+    @staticmethod
+    def _without_rules(path: str):
+        """The same vocabulary, for words that the normaliser and the pattern leave as they are."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        out = Tokenizer.from_file(path)
+        out.normalizer = None
+        out.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
     @classmethod
     def of(cls, path: str) -> WordIds:
         """One for each worker and path."""
@@ -59,38 +84,48 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [x.split() if not _OWN.search(x) else [w for w in _SPACE.split(x) if w] for x in texts]
-        return [self._ids(w) for w in words]
-
-    def _ids(self, words: list[str]) -> bytes:
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = {w for w in words if w not in known}
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            self._learn(list(new))
-            return b"".join([known[w] for w in words])
+        if len(known) > REMEMBERED:
+            self.last, known = known, {}
+            self.known = known
+        new = set().union(*words).difference(known)
+        known.update((w, self.last[w]) for w in new if w in self.last)
+        self._learn([w for w in new if w not in known])
+        return [b"".join(map(known.__getitem__, w)) for w in words]
 
     def _learn(self, words: list[str]) -> None:
-        # a comma or full stop right after a letter is a token of its own, and ASCII is lower-cased, whatever stands around
+        # ASCII punctuation right after letters is a token run of its own, and plain letters are lower-cased one by one,
+        # whatever stands around
         known, stems, parts = self.known, {}, []
         for w in words:
-            low = w.lower() if w.isascii() else w
-            tail = low[-1] if len(low) > 1 and low[-1] in ",." and low[-2].isalpha() and "<|" not in low else ""
-            stem = low[: len(low) - len(tail)] if "<|" not in low else w
+            if m := _TAILED.fullmatch(w):
+                stem, tail = m[1].lower(), m[2]
+                stems[tail] = None
+            else:
+                stem, tail = w, ""
             parts.append((w, stem, tail))
             stems[stem] = None
-            if tail:
-                stems[tail] = None
         todo = [s for s in stems if s not in known]
         found = dict(zip(todo, self._encode(todo), strict=True))
         for w, stem, tail in parts:
             known[w] = b"".join(found[x] if x in found else known[x] for x in (stem, tail) if x)
-        known.update((t, found[t]) for t in (",", ".") if t in found)
+        known.update(found)
 
     def _encode(self, words: list[str]) -> list[bytes]:
+        found: dict[str, bytes] = {}
+        letters = [w for w in words if _LOWER.fullmatch(w)]
+        for i in range(0, len(letters), 1000):
+            some = letters[i : i + 1000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                data, first = ids.tobytes(), [0, *last[:-1].tolist()]
+                found.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, first, last.tolist(), strict=True))
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._encode_any(others), strict=True))
+        return [found[w] for w in words]
+
+    def _encode_any(self, words: list[str]) -> list[bytes]:
         out = []
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
@@ -119,8 +154,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         end, width = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = words.encode([text.as_py()])[0] + end
+            encoded = (x for i, j, _, _ in text_chunks(batch, "text", 1 << 18) for x in words.encode(batch.column(1).slice(i, j - i).to_pylist()))
+            for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                data += end
                 for k in range(0, len(data), width):
                     part = data[k : k + width]
                     n = len(part) // 4
