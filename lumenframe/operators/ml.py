@@ -219,3 +219,50 @@ def permutation_importance(df: DataFrame, model, columns: Sequence[str], label:
         moved = df.withColumn(c, F.coalesce(F.lag(c).over(w), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
         out.append((c, float(error(moved) - base)))
     return spark.createDataFrame(out, "feature string, importance double")
+
+
+def select_best(df: DataFrame, columns: Sequence[str], label: str, k: int, how: str = "f") -> list[str]:
+    """The k columns of the highest f or chi2 score."""
+    scores = f_scores(df, columns, label) if how == "f" else chi2_scores(df, columns, label).withColumnRenamed("chi2", "f")
+    return [r["feature"] for r in scores.orderBy(F.desc("f"), "feature").limit(k).collect()]
+
+
+def eliminate(df: DataFrame, columns: Sequence[str], label: str, keep: int) -> list[str]:
+    """Recursive elimination: the column of the smallest standardised coefficient goes, until `keep` are left."""
+    left = list(columns)
+    while len(left) > keep:
+        beta = ridge(standard_scaler(df.select(label, *left), left), label, left, 1e-9)[1:]
+        left.pop(int(np.abs(beta).argmin()))
+    return left
+
+
+def stack(df: DataFrame, kinds: Sequence[str], columns: Sequence[str], label: str, key: str, k: int = 3) -> tuple[list, list[float]]:
+    """(models, blend): regressors fitted on all rows, and the intercept and weights that blend best their out-of-fold
+    predictions."""
+    rows = folds(vectors(df, columns), key, k).select(key, "features", label, "fold")
+    held = None
+    for f in range(k):
+        part = rows.filter(F.col("fold") == f)
+        for i, kind in enumerate(kinds):
+            part = estimator(kind, label=label, predictionCol=f"p{i}").fit(rows.filter(F.col("fold") != f)).transform(part)
+        part = part.select(label, *[f"p{i}" for i in range(len(kinds))])
+        held = part if held is None else held.unionAll(part)
+    models = [estimator(kind, label=label, predictionCol=f"p{i}").fit(rows) for i, kind in enumerate(kinds)]
+    return models, ridge(held, label, [f"p{i}" for i in range(len(kinds))], 1e-9)
+
+
+def linear_shap(df: DataFrame, columns: Sequence[str], weights: Sequence[float], key: str) -> DataFrame:
+    """(key, feature, shap) of a linear model: weight times the value's distance from its mean, exact for it."""
+    wide = _with(df, *[F.avg(c).alias(f"_m_{c}") for c in columns])
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (float(w) * (F.col(c) - F.col(f"_m_{c}"))).alias("shap")) for c, w in zip(columns, weights, strict=True)])
+    return wide.select(key, F.inline(parts))
+
+
+def random_projection_index(rows: DataFrame, column: str = "vector", tables: int = 8, width: float = 2.0, seed: int = 1):
+    """An approximate nearest-neighbour index (pyspark.ml's bucketed random projections) over (id, vector)."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    index = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=seed)
+    ready = rows.withColumn("features", array_to_vector(F.col(column)))
+    return index.fit(ready), ready

@@ -173,3 +173,78 @@ def stems(counts: DataFrame) -> DataFrame:
         return x.map(stem)
 
     return counts.select("token").distinct().withColumn("stem", apply("token"))
+
+
+def wordpieces(df: DataFrame, text: str, vocabulary: Sequence[str], unknown: str = "[UNK]", name: str = "pieces") -> DataFrame:
+    """df with the longest pieces first of each lower-cased word; a word's later pieces are listed with ##. Words that can't be
+    cut are unknown. Distinct words are cut once a batch."""
+    known = df.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def pieces(word: str) -> list[str]:
+        out, at, have = [], 0, known.value
+        while at < len(word):
+            end = len(word)
+            while end > at and (("##" if at else "") + word[at:end]) not in have:
+                end -= 1
+            if end == at:
+                return [unknown]
+            out.append(("##" if at else "") + word[at:end])
+            at = end
+        return out
+
+    @F.pandas_udf("array<string>")
+    def apply(lists: pd.Series) -> pd.Series:
+        seen: dict[str, list[str]] = {}
+        return lists.map(lambda ws: [p for w in ws for p in (seen[w] if w in seen else seen.setdefault(w, pieces(w)))])
+
+    return tokens(df, text, "_w").withColumn(name, apply("_w")).drop("_w")
+
+
+def fit_tagger(tagged: DataFrame, sentence: str, position: str, word: str, tag: str, smooth: float = 0.1) -> dict:
+    """Log probabilities of a hidden Markov tagger: counts of first tags, tag pairs and (tag, word), smoothed. The counts are
+    aggregates; the model has a row a distinct (tag, word)."""
+    import math
+
+    from pyspark.sql import Window
+
+    rows = tagged.withColumn("_before", F.lag(tag).over(Window.partitionBy(sentence).orderBy(position)))
+    pairs = {(r["_before"], r[tag]): r["n"] for r in rows.groupBy("_before", tag).agg(F.count(F.lit(1)).alias("n")).collect()}
+    emitted = {(r[tag], r["w"]): r["n"] for r in rows.groupBy(tag, F.lower(word).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    tags, words_ = sorted({t for _, t in pairs}), len({w for _, w in emitted})
+    out: dict = {"tags": tags, "step": {}, "word": {}, "other": {}}
+    for before in [None, *tags]:
+        total = sum(n for (b, _), n in pairs.items() if b == before)
+        out["step"][before] = {t: math.log((pairs.get((before, t), 0) + smooth) / (total + smooth * len(tags))) for t in tags}
+    for t in tags:
+        total = sum(n for (a, _), n in emitted.items() if a == t)
+        out["other"][t] = math.log(smooth / (total + smooth * (words_ + 1)))
+        out["word"][t] = {w: math.log((n + smooth) / (total + smooth * (words_ + 1))) for (a, w), n in emitted.items() if a == t}
+    return out
+
+
+def best_tags(words_: Sequence[str], model: dict) -> list[str]:
+    """The likeliest tags of a sentence, by Viterbi."""
+    if not words_:
+        return []
+    see = lambda t, w: model["word"][t].get(w.lower(), model["other"][t])
+    score = {t: model["step"][None][t] + see(t, words_[0]) for t in model["tags"]}
+    back = []
+    for w in words_[1:]:
+        best = {t: max(model["tags"], key=lambda b, t=t: (score[b] + model["step"][b][t], b)) for t in model["tags"]}
+        score = {t: score[best[t]] + model["step"][best[t]][t] + see(t, w) for t in model["tags"]}
+        back.append(best)
+    out = [max(model["tags"], key=lambda t: (score[t], t))]
+    for best in reversed(back):
+        out.append(best[out[-1]])
+    return out[::-1]
+
+
+def tag(df: DataFrame, column: str, model: dict, name: str = "tags") -> DataFrame:
+    """df with the tags of each array of words."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<string>")
+    def apply(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ws: best_tags(list(ws), shared.value))
+
+    return df.withColumn(name, apply(column))
