@@ -84,4 +84,4 @@ def _(spark, d):
 def _(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     model, ready = M.random_projection_index(rows, tables=4, width=0.5)
-    return model.approxSimilarityJoin(ready, ready, 0.8, "distance").filter("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
+    return model.approxSimilarityJoin(ready, ready, 1.2, "distance").filter("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "distance")
