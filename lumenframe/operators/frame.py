@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.operators.lineage import cut
+
 
 def _need(df: DataFrame, names: Sequence[str]) -> None:
     if missing := [n for n in names if n not in df.columns]:
@@ -84,11 +86,15 @@ def argsort(df: DataFrame, column: str, order_by: str, ascending: bool = True) -
 
 
 def with_row_number(df: DataFrame, keys: Sequence[Column], name: str = "row_idx") -> DataFrame:
-    """Contiguous 0-based numbers in the order of keys, without bringing all rows to one task."""
-    spark = df.sparkSession
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    pairs = df.orderBy(*keys).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return spark.createDataFrame(pairs, schema)
+    """Contiguous 0-based numbers in the order of keys, without bringing all rows to one task.
+
+    Rows are sorted by range partitions and numbered within them; the partitions' sizes, a row each, are added up.
+    """
+    rows = cut(df.orderBy(*keys).withColumn("_m", F.monotonically_increasing_id()))
+    rows = rows.select("*", F.shiftrightunsigned("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(sizes), "_p").select(*df.columns, (F.col("_b") + F.col("_i")).alias(name))
 
 
 def join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str] | None = None, how: str = "inner", null_safe: bool = False) -> DataFrame:

@@ -14,18 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df, its lineage cut by a checkpoint in the folder all executors share (a temporary one is set where none is)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if path := df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            context.setCheckpointDir(path)
-        else:
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
+from lumenframe.operators.lineage import cut as _cut
 
 
 def nodes(edges: DataFrame) -> DataFrame:

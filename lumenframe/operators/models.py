@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import graph
+from lumenframe.operators.lineage import cut
 from lumenframe.operators.ml import nearest
 from lumenframe.operators.series import per_series, spec
 from lumenframe.operators.timeseries import _rows, decompose
@@ -28,8 +29,8 @@ def dbscan(df: DataFrame, key: str, columns: Sequence[str], radius: float, least
     steps = F.array(*[F.array(*[F.lit(s) for s in shift]) for shift in product((-1, 0, 1), repeat=len(columns))])
     near = own.select(F.explode(F.transform(steps, lambda s: F.zip_with("_cell", s, lambda a, b: a + b))).alias("_cell"), F.col("_k").alias("_n"), F.col("_w").alias("_m"), *[F.col(c).alias(f"_{c}") for c in columns])
     close = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in columns), F.lit(0.0)) <= radius * radius
-    pairs = graph._cut(own.join(near, "_cell").filter(close).select("_k", "_n", "_m"))
-    core = graph._cut(pairs.groupBy("_k").agg(F.sum("_m").alias("_c")).filter(F.col("_c") >= least).select("_k"))
+    pairs = cut(own.join(near, "_cell").filter(close).select("_k", "_n", "_m"))
+    core = cut(pairs.groupBy("_k").agg(F.sum("_m").alias("_c")).filter(F.col("_c") >= least).select("_k"))
     both = pairs.join(core, "_k").join(core.select(F.col("_k").alias("_n")), "_n")
     parts = graph.components(both.select(F.col("_k").alias("src"), F.col("_n").alias("dst"))).select(F.col("node").alias("_n"), F.col("component").alias("cluster"))
     reached = pairs.join(parts, "_n").groupBy("_k").agg(F.min("cluster").alias("_reach"))
@@ -182,14 +183,14 @@ def product_quantise(df: DataFrame, key: str, column: str, parts: int, codes: in
     """
     width = F.size(column) / parts
     split = df.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(column, (i * width + 1).cast("int"), width.cast("int")))).alias("part", "v"))
-    rows = graph._cut(split.withColumn("v", F.transform("v", lambda x: x.cast("double"))))
+    rows = cut(split.withColumn("v", F.transform("v", lambda x: x.cast("double"))))
     first = Window.partitionBy("part").orderBy(F.xxhash64(key), key)
     centers = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= codes).select("part", (F.col("n") - 1).alias("code"), F.col("v").alias("c"))
     distance: Column = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     for _ in range(rounds):
         best = rows.join(F.broadcast(centers), "part").groupBy(key, "part").agg(F.min_by("code", F.struct(distance, F.col("code"))).alias("code"), F.first("v").alias("v"))
         means = best.select("part", "code", F.posexplode("v").alias("i", "x")).groupBy("part", "code", "i").agg(F.avg("x").alias("x"))
-        centers = graph._cut(means.groupBy("part", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("c")))
+        centers = cut(means.groupBy("part", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("c")))
     return rows.join(F.broadcast(centers), "part").groupBy(key, "part").agg(F.min_by("code", F.struct(distance, F.col("code"))).alias("code"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import special
+from lumenframe.operators.frame import with_row_number
 
 
 def _f64(c: str | Column) -> Column:
@@ -56,9 +57,19 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.corr(_f64(a), _f64(b)).alias("r"))
 
 
+def mean_ranks(df: DataFrame, column: str) -> DataFrame:
+    """(column, rank) of the distinct values: the mean of their rows' places, numbered over range partitions."""
+    placed = with_row_number(df.select(column).filter(F.col(column).isNotNull()), [F.col(column).asc()], "_at")
+    return placed.groupBy(column).agg((F.avg("_at") + 1).alias("rank"))
+
+
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
-    ranked = df.withColumn("_ra", ranks(a, by)).withColumn("_rb", ranks(b, by))
-    return ranked.groupBy(*by).agg(F.corr("_ra", "_rb").alias("r"))
+    """Groups are ranked by windows; a whole table by mean ranks joined back, so that no task sees all rows."""
+    if by:
+        return df.withColumn("_ra", ranks(a, by)).withColumn("_rb", ranks(b, by)).groupBy(*by).agg(F.corr("_ra", "_rb").alias("r"))
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    joined = both.join(mean_ranks(both, a).withColumnRenamed("rank", "_ra"), a).join(mean_ranks(both, b).withColumnRenamed("rank", "_rb"), b)
+    return joined.agg(F.corr("_ra", "_rb").alias("r"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -137,11 +148,11 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, column: str, group: str, a, b) -> DataFrame:
-    """u (of group a) and z by the normal approximation, with p_value. Ranks come from counts of distinct values."""
+    """u (of group a) and z by the normal approximation, with p_value."""
     g = F.col(group)
-    values = df.filter(g.isin(a, b)).groupBy(_f64(column).alias("x")).agg(F.count_if(g == a).alias("a"), F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    one = values.withColumn("r", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("r") * F.col("a")).alias("ra"), F.sum("a").cast("double").alias("na"), F.sum(F.col("n") - F.col("a")).cast("double").alias("nb"))
+    both = df.filter(g.isin(a, b)).select(_f64(column).alias("x"), (g == a).alias("mine")).filter("x IS NOT NULL")
+    counts = both.groupBy("x").agg(F.count_if("mine").alias("a"), F.count(F.lit(1)).alias("n"))
+    one = counts.join(mean_ranks(both, "x"), "x").agg(F.sum(F.col("rank") * F.col("a")).alias("ra"), F.sum("a").cast("double").alias("na"), F.sum(F.col("n") - F.col("a")).cast("double").alias("nb"))
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
     got = one.select(u.alias("u"), ((u - F.col("na") * F.col("nb") / 2) / F.sqrt(F.col("na") * F.col("nb") * (F.col("na") + F.col("nb") + 1) / 12)).alias("z"))
     return got.withColumn("p_value", special.normal_two_sided(F.col("z")))
