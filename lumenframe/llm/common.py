@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass works on: bounds a worker's memory to some 30 times this.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -183,3 +183,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k = np.sort(keys)
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
     return k[first], np.diff(np.append(first, len(k)))
+
+
+_KEPT: dict = {"owner": None, "tables": {}}
+
+
+def remembered(owner: str, key=None, make=None):
+    """What a worker remembers from task to task, of one operator at a time: what another one left is dropped first."""
+    if _KEPT["owner"] != owner:
+        _KEPT["owner"], _KEPT["tables"] = owner, {}
+    if make is None:
+        return None
+    if key not in _KEPT["tables"]:
+        _KEPT["tables"][key] = make()
+    return _KEPT["tables"][key]

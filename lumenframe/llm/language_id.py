@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import lower_az, text_chunks
+from lumenframe.llm.common import lower_az, remembered, text_chunks
 
 CELLS = 1 << 16
 LEAST_SHARE = 1e-3
@@ -64,6 +64,7 @@ def fit(docs: DataFrame) -> Model:
     numbers = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("language_id")
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             langs = [numbers.get(x) for x in batch.column(0).to_pylist()]
@@ -121,6 +122,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("language_id")
         languages, p = shared.value.languages, shared.value.p
         for batch in batches:
             preds, scores, sets = [], [], []

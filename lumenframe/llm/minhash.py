@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, drop, mix, text_chunks, whole_text, words
+from lumenframe.llm.common import cut, drop, mix, remembered, text_chunks, whole_text, words
 from lumenframe.llm.components import components
 
 BANDS, ROWS, WIDTH = 32, 4, 5
@@ -63,7 +63,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         if b - a >= WIDTH:
             out.append(np.unique(runs[a : b - WIDTH + 1]))
         elif b > a:  # the whole sequence, apart from any five words
-            out.append(mix(np.array([(hashed[a:b] * _P[: b - a]).sum() ^ _P[WIDTH] * np.uint64(b - a)], dtype=np.uint64)))
+            out.append(mix((hashed[a:b] * _P[: b - a]).sum(keepdims=True) ^ _P[WIDTH:] * np.uint64(b - a)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -84,6 +84,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("minhash")
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
                 sets = shingle_sets(data, offsets)
@@ -101,6 +102,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     """(node, shingles, signature) of the documents that are in some bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("minhash")
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
                 sets = shingle_sets(data, offsets)
@@ -163,6 +165,7 @@ def _alike(cells: DataFrame, agree: int, sure: int | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("minhash")
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
@@ -185,6 +188,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     p, m = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "pm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("minhash")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):

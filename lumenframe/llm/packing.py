@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import arrow_schema, cut, text_chunks, whole_text
+from lumenframe.llm.common import arrow_schema, cut, remembered, text_chunks, whole_text
 
 #: Words of a generation that a worker remembers the ids of; beyond it, a new one begins, and what the last one holds is
 #: taken over as it is met again.
@@ -47,8 +47,6 @@ class WordIds:
     by a special token.
     """
 
-    made: dict[str, WordIds] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -77,10 +75,8 @@ class WordIds:
 
     @classmethod
     def of(cls, path: str) -> WordIds:
-        """One for each worker and path."""
-        if path not in cls.made:
-            cls.made[path] = cls(path)
-        return cls.made[path]
+        """One for each worker and path, as long as the worker packs."""
+        return remembered("packing", path, lambda: cls(path))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [x.split() if not _OWN.search(x) else [w for w in _SPACE.split(x) if w] for x in texts]

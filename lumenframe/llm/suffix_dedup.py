@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, keyed, mix, prefix_hash, real_id, span_hash, text_chunks
+from lumenframe.llm.common import cut, keyed, mix, prefix_hash, real_id, remembered, span_hash, text_chunks
 
 GRAM = 16
 #: Starts of a context at most, contexts of an anchor beyond which it is dealt by string, bytes of a batch and of a shard, and
@@ -107,6 +107,7 @@ def _anchored(docs: DataFrame, width: int) -> DataFrame:
     """Contexts by anchor; those equal to an earlier one of the same chunk as removed spans, under any anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         for batch in batches:
             ids, copies = (batch.column(k).to_numpy() for k in (0, 1))
             for i, j, data, offsets in text_chunks(batch, most=TEXTS):
@@ -137,6 +138,7 @@ def _sifted(anchored: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("_d", pa.int64()), ("_c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         held: list[np.ndarray] | None = None  # the last row, which the next one decides on
         before = (False, False)  # whether the row before that had the same anchor, and the same context
 
@@ -171,6 +173,7 @@ def _with_bytes(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("_d", pa.int64()), ("_c", pa.int32()), ("s", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         for batch in batches:
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists, at = batch.column(3), 0
@@ -302,6 +305,7 @@ def _merged(with_bytes: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("_d", pa.int64()), ("_c", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         parts, held = [], 0
 
         def out(rows: pa.Table) -> pa.RecordBatch:
@@ -372,6 +376,7 @@ def annotate(docs: DataFrame, width: int = 100) -> DataFrame:
     rows = keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         for batch in batches:
             out = []
             for text, of in zip(batch.column(1), batch.column(2), strict=True):
@@ -403,6 +408,7 @@ def strip(docs: DataFrame, width: int = 100) -> DataFrame:
     schema = joined.select(*names).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
         for batch in batches:
             texts = []
             for text, of in zip(batch.column(at), batch.column(len(names)), strict=True):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import counted, cut, distinct, drop, lower_az, mix, text_chunks, whole_text, words
+from lumenframe.llm.common import counted, cut, distinct, drop, lower_az, mix, remembered, text_chunks, whole_text, words
 
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 FREQUENT = 1e-6
@@ -98,6 +98,7 @@ def _count(docs: DataFrame, of_chunk) -> DataFrame:
     """(key, n) over all texts: each task counts the keys of_chunk(data, offsets) gives, then they are summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_lm")
         keys, counts, held = [], [], 0
 
         def out() -> pa.RecordBatch:
@@ -210,6 +211,7 @@ def score(docs: DataFrame, held_out: F.Column, depth: int = 5, least: float = 1e
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_lm")
         tree, keys, logs = shared.value
         scorer, row = Scorer(tree), TaskContext.get().partitionId() << 36
         table = Slots(keys)

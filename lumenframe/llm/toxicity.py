@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import cut, whole_text
+from lumenframe.llm.common import cut, remembered, whole_text
 
 _WORD = re.compile(r"\w+")
 #: Words a worker remembers the features of.
@@ -89,6 +89,7 @@ def choose(rows: DataFrame, most: int) -> list[str]:
     """Features more common in toxic texts, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
         def out() -> pa.RecordBatch:
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features:
     chosen = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         count = Counts(chosen.value)
         for batch in batches:
             found = [count(x.as_py()) for x in batch.column(0)]
@@ -182,6 +184,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.25) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         weigh = _Weigher(shared.value)
         for batch in batches:
             severity, grade, p = weigh([x.as_py() for x in batch.column(1)])
@@ -210,6 +213,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.25) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity")
         weigh = _Weigher(shared.value)
         for batch in batches:
             p = weigh([x.as_py() or "" for x in batch.column(at)])[2]
