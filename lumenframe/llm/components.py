@@ -28,8 +28,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, passes: int = 200) -> DataFrame:
     """(node, component): the smallest node that each node of edges (u, v) reaches; the smallest ones themselves are left out."""
     state, seen = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"), None
+    n = state.count()
     for _ in range(passes):
-        new = cut(_small_star(_large_star(state)), "links")
+        # a pass never has more links than the one before, so few links are written to few files
+        new = cut(_small_star(_large_star(state)).coalesce(n // 20_000 + 4), "links")
         sums = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("x")).first()
         drop(state)
         state = new
