@@ -95,3 +95,22 @@ def test_degenerate_tables(spark):
     assert {(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in only} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
     assert only[0].score == pytest.approx(-np.log10(256) * (4 if only[0].n_tokens == 3 else 1))
     assert lm.score(docs.limit(0), F.lit(False)).collect() == []
+
+
+def test_contexts_of_a_small_table_stay_in_a_large_one(spark):
+    """What a context needs doesn't rise with the corpus: two rows of a rare text, beside ever more of another."""
+    rare, score = "qxjv wzkq", {}
+    for n in (100, 20_000):
+        rows = [(i, rare) for i in (1, 2, 3)] + [(10 + i, "the cat sat on the mat, the dog on the log and the rat on the hat " * 10) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        score[n] = [x.score for x in lm.score(docs, F.col("doc_id") == 3).filter("doc_id = 3").collect()][0]
+    assert score[20_000] > -12 and abs(score[20_000] - score[100]) < 5
+
+
+def test_rare_paths_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    held = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 10 == 0
+    want = lm.score(docs, held).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm, "PATHS", 0.01)
+    got = lm.score(docs, held).orderBy("doc_id").collect()
+    assert [x.score for x in got] == pytest.approx([x.score for x in want])
