@@ -85,3 +85,27 @@ def test_em_recovers_proportions():
     n = r.multinomial(40_000, p @ [0.6, 0.0, 0.4]).astype(float)
     chosen, share = language_id.select(p + 1e-9, n)
     assert chosen == [0, 2] and abs(share[0] - 0.6) < 0.02
+
+
+def test_a_language_of_small_share_is_learned(spark):
+    r = random.Random(5)
+    text = lambda letters, words: " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 8))) for _ in range(words))
+    rows = [(i, text("abcdef", 20), "aa") for i in range(2500)] + [(i + 5000, text("ghijkl", 20), "bb") for i in range(2500)] + [(9000, text("mnopqr", 4000), "cc")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb", "cc"]
+    asked = spark.createDataFrame([(1, text("mnopqr", 60)), (2, text("abcdef", 60)), (3, text("ghijkl", 60))], "doc_id long, text string")
+    assert {x.doc_id: x.lang_pred for x in language_id.predict(asked, model).collect()} == {1: "cc", 2: "aa", 3: "bb"}
+
+
+def test_many_languages_give_the_same_with_and_without_the_full_matrix(monkeypatch):
+    r = np.random.default_rng(3)
+    n = r.poisson(0.3, (400, 60)) * r.integers(1, 50, (400, 60))
+    row, column = np.nonzero(n)
+    total = n.sum(0) + 0.5 * language_id.CELLS
+    p = language_id.Sparse(0.5 / total, row, column, n[row, column] / total[column], 400)
+    assert np.allclose(p.full(), (n + 0.5) / total)
+    seen = r.poisson(3 * (n[:, 7] + n[:, 30]) / 10) + 1
+    want, share = language_id.select(p.full(), seen)
+    monkeypatch.setattr(language_id, "FULL", 0)
+    got, sparse = language_id.select(p, seen)
+    assert got == want and np.allclose(share, sparse)
