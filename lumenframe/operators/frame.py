@@ -159,8 +159,12 @@ def aggregate(df: DataFrame, by: Sequence[str], how: str, columns: Sequence[str]
 
 def pivot(df: DataFrame, index: Sequence[str], column: str, value: str, how: str = "sum", values: Sequence | None = None) -> DataFrame:
     """One column `<value>_<v>` for each v of column; cells without rows are null. Without `values` the distinct ones are read
-    first, which is one more pass and bounds them at spark.sql.pivotMaxValues."""
-    values = values if values is not None else [r[0] for r in df.select(column).distinct().orderBy(column).limit(int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))).collect()]
+    first, which is one more pass; more than spark.sql.pivotMaxValues of them are an error."""
+    if values is None:
+        most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+        values = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values")
     agg = AGGREGATES.get(how) or {"count": F.count}[how]
     out = df.groupBy(*index).pivot(column, values).agg(agg(value))
     return out.toDF(*index, *[f"{value}_{v}" for v in values])

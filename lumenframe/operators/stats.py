@@ -128,8 +128,13 @@ def anova(df: DataFrame, column: str, group: str) -> DataFrame:
     return got.withColumn("p_value", special.f_upper(F.col("statistic"), F.col("df_between"), F.col("df_within")))
 
 
-def chi_square(df: DataFrame, column: str, expected: dict) -> DataFrame:
-    """statistic, df, p_value and Cohen's w of the counts of column against expected shares."""
+def chi_square(df: DataFrame, column: str, expected: dict | None = None) -> DataFrame:
+    """statistic, df, p_value and Cohen's w of the counts of column against expected shares, or against equal shares of all
+    its values."""
+    if expected is None:
+        one = df.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).cast("double").alias("k"), (F.sum(F.col("n") * F.col("n")) * F.count(F.lit(1))).alias("q"))
+        got = one.select((F.col("q") / F.col("all") - F.col("all")).alias("statistic"), (F.col("k") - 1).alias("df"), F.sqrt(F.col("q") / (F.col("all") * F.col("all")) - 1).alias("w"))
+        return got.withColumn("p_value", special.chi2_upper(F.col("statistic"), F.col("df")))
     total = sum(expected.values())
     shares = F.create_map(*[x for k, v in expected.items() for x in (F.lit(k), F.lit(v / total))])
     counts = df.filter(F.col(column).isin(list(expected))).groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("n"))

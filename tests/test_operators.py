@@ -170,3 +170,25 @@ def test_signals(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)], "i int, j int, v double")
     assert rows(linalg.matmul(a, a)) == [(0, 0, 1.0), (0, 1, 8.0), (1, 1, 9.0)]
     assert timeseries.holt_winters(np.tile([1.0, 2.0, 3.0, 2.0], 6), 4, 0.3, 0.1, 0.2, 4).tolist() == pytest.approx([1, 2, 3, 2], abs=0.2)
+
+
+def test_chi_square_counts_every_category(spark, tmp_path):
+    from lumenframe.plans import catalog
+
+    counts = [1 + i % 7 for i in range(150)]
+    spark.createDataFrame([(f"s{i:03}",) for i, n in enumerate(counts) for _ in range(n)], "c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.queries()["chi_square"](spark, str(tmp_path)).first()
+    each = sum(counts) / 150
+    want = sum((n - each) ** 2 / each for n in counts)
+    assert (got["statistic"], got["df"]) == (pytest.approx(want, abs=1e-5), 149) and got["w"] == pytest.approx(math.sqrt(want / sum(counts)), abs=1e-5)
+
+
+def test_pivot_refuses_more_values_than_its_bound(spark):
+    df = spark.createDataFrame([("a", i, 1.0) for i in range(4)], "g string, p int, v double")
+    spark.conf.set("spark.sql.pivotMaxValues", "3")
+    try:
+        with pytest.raises(ValueError):
+            frame.pivot(df, ["g"], "p", "v")
+        assert len(frame.pivot(df.filter("p < 3"), ["g"], "p", "v").columns) == 4
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
