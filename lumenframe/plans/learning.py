@@ -269,7 +269,7 @@ def _(spark, d):
     from pyspark.ml.feature import CountVectorizer
 
     rows = T.tokens(table(spark, d, "documents"), "text").select("doc_id", "tokens")
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=5).fit(rows).transform(rows)
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=2**31 - 1, minDF=1).fit(rows).transform(rows)  # every word
     return LDA(k=4, maxIter=5, seed=1).fit(counts).describeTopics(8)
 
 

@@ -50,3 +50,12 @@ def test_product_quantiser_is_near(spark):
     for x in models.product_quantise(df, "k", "v", 2, 2, 5).collect():
         codes.setdefault((x.part, x.code), set()).add(x.k % 2)
     assert len(codes) >= 3
+
+
+def test_lda_topics_take_words_of_few_documents(spark, tmp_path):
+    from lumenframe.plans import catalog
+
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100))) for i in range(60)]  # 6000 words of one document each
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["lda_topics"](spark, str(tmp_path)).collect()
+    assert len(got) == 4 and max(i for r in got for i in r["termIndices"]) >= 5000
