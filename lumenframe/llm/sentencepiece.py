@@ -1,18 +1,23 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 A text is encoded with a leading blank, blanks written as the piece sign U+2581, into the pieces whose scores sum highest; a
-character that no piece holds becomes its UTF-8 bytes' ids. The Viterbi pass keeps best scores of the last `longest` positions
-and the backpointers since the last commit. Once the backpointer paths of all live positions meet in one boundary, what lies
-before it can't change: its ids are committed and forgotten. Two kinds of boundary are known beforehand, as no piece crosses
-them: before a blank that follows another character, and around a line end (if no piece holds one). What lies between two
-such boundaries is a unit; units repeat, so their ids are remembered.
+character that no piece holds becomes its UTF-8 bytes' ids. All text goes through one streaming pass. It keeps best scores and
+backpointers of the characters since the last commit. Once the backpointer paths of all live positions (ends of pieces that
+begin before the last position settled) meet in one boundary, what lies before it can't change: its ids are committed and
+forgotten. The window is what is held: at most `longest` characters that are not settled yet, a step of as many more, and what
+is settled but still open - a few pieces, as paths meet at the first place that no live piece crosses.
+
+Paths always meet before a blank that follows another character, and around a line end (if no piece holds one): no piece crosses
+these seams, so one position is live there. From a seam to the next the ids hang on nothing else, so the pass remembers the spans
+it committed between seams, and commits a span it knows without going through its characters again.
 
 Scores: the model file's pieces in their order, `zipf` scoring the r-th as -log(r + 2) rounded to 1/64 (so sums are exact and
-ties are the same everywhere), `model` taking the file's own scores. Of equal paths the one with the earlier start of its last
-piece wins at each position. Decoding joins the pieces' bytes and drops the leading blank; decode(encode(x)) == x for every text.
+ties are the same everywhere), `model` taking the file's own scores. Of equal paths the one with the later start of its last
+piece wins at each position (so in a text that repeats itself, what is left over stands at the end, and paths meet). Decoding joins the pieces' bytes and drops the leading blank; decode(encode(x)) == x for every text.
 
 Defined results: a null or empty text has no ids and decodes to an empty one; ids outside the model raise ValueError in decode;
-null doc_id, repeated rows and further columns don't matter; an empty table gives none.
+null doc_id, repeated rows and further columns don't matter; a very long text, blanks or none in it, takes the window and its
+ids; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import whole_text
+from lumenframe.llm.common import arrow_schema, whole_text
 
 BLANK = "▁"
-REMEMBERED, LONG_UNIT = 300_000, 64
-_UNITS = re.compile(r" *[^ ]+| +")
+#: Spans a worker remembers, of a generation; longer ones than KEPT characters are gone through each time.
+REMEMBERED, KEPT = 300_000, 256
+_SPANS = re.compile(r" *[^ ]+| +")
 
 
 class Pieces:
@@ -81,28 +86,33 @@ class Viterbi:
         self.back: list[tuple[int, int]] = [(-1, -1)]  # start and id of the best last piece; id -1: an unknown character
         self.done = 0  # positions whose pieces onwards have been tried
         self.window = 0  # the most characters that were held at once
+        self.commits = 0
+        self.patience = 0  # characters at which a wide window is looked through again
 
-    def push(self, more: str) -> list[int]:
+    def push(self, more: str, seam: bool = False) -> list[int]:
+        """Takes characters; with `seam`, no piece can cross their end."""
         out: list[int] = []
-        step = 4 * self.pieces.longest
+        step = self.pieces.longest
         for k in range(0, len(more), step):
             self.text += more[k : k + step]
             self.window = max(self.window, len(self.text))
+            if seam and k + step >= len(more):
+                break
             # a position is settled once all pieces that could start there can be seen whole
-            self._try(len(self.text) - self.pieces.longest)
-            out += self._commit()
+            self._try(len(self.text) - step)
+            if len(self.text) <= 4 * step or len(self.text) >= self.patience:
+                out += self._commit()
+                self.patience = 2 * len(self.text)
+        if seam and self.text:
+            # the only live position is the end
+            self._try(len(self.text))
+            out += self._ids(len(self.text))
+            self.text, self.score, self.back, self.done = "", [0.0], [(-1, -1)], 0
+            self.commits += 1
         return out
 
     def close(self) -> list[int]:
-        self._try(len(self.text))
-        out = self._ids(len(self.text))
-        self.text, self.score, self.back, self.done = "", [0.0], [(-1, -1)], 0
-        return out
-
-    def whole(self, text: str) -> list[int]:
-        """Ids of a text short enough to be its own window."""
-        self.text = text
-        return self.close()
+        return self.push("", seam=True)
 
     def _try(self, to: int) -> None:
         text, score, back, begun, longest = self.text, self.score, self.back, self.pieces.begun, self.pieces.longest
@@ -122,14 +132,14 @@ class Viterbi:
                     if j == i + 1:
                         single = True
                     s = base + found[1]
-                    if score[j] is None or s > score[j]:
+                    if score[j] is None or s >= score[j]:
                         score[j], back[j] = s, (i, found[0])
                 elif found == 0:
                     break
                 j += 1
             if not single:
                 s = base + self.pieces.unknown
-                if score[i + 1] is None or s > score[i + 1]:
+                if score[i + 1] is None or s >= score[i + 1]:
                     score[i + 1], back[i + 1] = s, (i, -1)
         self.done = max(self.done, to)
 
@@ -143,6 +153,7 @@ class Viterbi:
         meet = live.pop() if live else 0
         if meet <= 0:
             return []
+        self.commits += 1
         out, base = self._ids(meet), self.score[meet]
         self.text = self.text[meet:]
         self.score = [None if s is None else s - base for s in self.score[meet:]]
@@ -165,12 +176,13 @@ class Viterbi:
 class Encoder:
     def __init__(self, path: str, scores: str = "zipf"):
         self.pieces = Pieces.of(path, scores)
-        self.known: dict[str, bytes] = {}
-        self.last: dict[str, bytes] = {}  # what was known before that
+        #: Ids, number of commits and window of spans.
+        self.known: dict[str, tuple[bytes, int, int]] = {}
+        self.last: dict[str, tuple[bytes, int, int]] = {}  # what was known before that
         self.stream = Viterbi(self.pieces)
 
-    def units(self, text: str) -> list[str]:
-        """The parts of a blank and the text that no piece reaches across."""
+    def spans(self, text: str) -> list[str]:
+        """The parts of a blank and the text between seams."""
         if not self.pieces.blanks_lead:
             return [" " + text]
         out: list[str] = []
@@ -182,7 +194,7 @@ class Encoder:
                 line = " " + line
             words = line.split(" ")
             if "" in words[1:]:
-                out += _UNITS.findall(line)
+                out += _SPANS.findall(line)
             else:
                 if words[0]:
                     out.append(words[0])
@@ -190,27 +202,31 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+        """Ids as little-endian unsigned 32-bit numbers. The stream's `commits` and `window` are those of this text then."""
+        stream = self.stream
+        stream.commits = stream.window = 0
         if not text:
             return b""
         if len(self.known) > REMEMBERED:
             self.last, self.known = self.known, {}
-        known, last, out = self.known, self.last, []
-        for unit in self.units(text):
-            ids = known.get(unit)
-            if ids is None:
-                if len(unit) <= LONG_UNIT:
-                    ids = known[unit] = last.get(unit) or self._viterbi(unit)
-                else:
-                    ids = self._viterbi(unit)
-            out.append(ids)
+        known, last, out, commits, window = self.known, self.last, [], 0, 0
+        for span in self.spans(text):
+            found = known.get(span)
+            if found is None:
+                found = last.get(span)
+                if found is None:
+                    stream.commits = stream.window = 0
+                    ids = np.array(stream.push(span, seam=True), dtype="<u4").tobytes()
+                    found = ids, stream.commits, stream.window
+                if len(span) <= KEPT:
+                    known[span] = found
+            out.append(found[0])
+            commits += found[1]
+            if found[2] > window:
+                window = found[2]
+        stream.commits, stream.window = commits, window
         return b"".join(out)
 
-    def _viterbi(self, unit: str) -> bytes:
-        stream = self.stream
-        ids = stream.whole(unit) if len(unit) <= LONG_UNIT else stream.push(unit) + stream.close()
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def decode(self, ids: bytes) -> str:
         table = self.pieces.bytes
         try:
@@ -247,8 +263,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, scores: str = "zipf") -> DataFrame:
-    """doc_id, n_ids, ids_sha256 (little-endian unsigned 32-bit), decoded_sha256, exact: whole texts encoded, then decoded."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("exact", pa.bool_())])
+    """doc_id, n_ids, ids_sha256 (little-endian unsigned 32-bit), decoded_sha256, exact, n_commits, most characters held: whole
+    texts encoded, then decoded."""
+    ddl = "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean, n_commits long, window int"
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, scores)
@@ -258,7 +276,7 @@ def round_trip(docs: DataFrame, path: str, scores: str = "zipf") -> DataFrame:
                 text = x.as_py()
                 ids = encoder.encode(text)
                 again = encoder.decode(ids)
-                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == text))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * 5, schema, strict=True)], schema=schema)
+                rows.append((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(again.encode()).hexdigest(), again == text, encoder.stream.commits, encoder.stream.window))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(run, ddl)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from lumenframe.llm.sentencepiece import Encoder, Pieces, Viterbi, decode, encode, round_trip
@@ -9,14 +10,14 @@ from lumenframe.llm.sentencepiece import Encoder, Pieces, Viterbi, decode, encod
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def brute(text, pieces):
+def brute(text, pieces, lead=" "):
     """Ids of the best path over the whole text at once."""
-    text = " " + text
+    text = lead + text
     best = [(0.0, -1, -1)] + [None] * len(text)
     for end in range(1, len(text) + 1):
         for start in range(max(0, end - pieces.longest), end):
             found = pieces.value.get(text[start:end]) or ((-1, pieces.unknown) if end - start == 1 else None)
-            if found and best[start] and (best[end] is None or best[start][0] + found[1] > best[end][0]):
+            if found and best[start] and (best[end] is None or best[start][0] + found[1] >= best[end][0]):
                 best[end] = (best[start][0] + found[1], start, found[0])
     out, end = [], len(text)
     while end:
@@ -64,7 +65,33 @@ def test_the_library_agrees(tmp_path):
 def test_the_window_stays_small():
     stream = Viterbi(Pieces.of(PATH))
     out = stream.push(" " + "anathemaoftheinner" * 5000)
-    assert stream.window < 40 * stream.pieces.longest and len(out) > 1000
+    assert stream.window < 4 * stream.pieces.longest and len(out) > 1000 and stream.commits > 1000
+    encoder = Encoder(PATH)
+    encoder.encode("x" * 300_000)
+    assert encoder.stream.window < 4 * encoder.pieces.longest and encoder.stream.commits > 1_000
+
+
+def test_whole_documents_are_committed_as_they_come():
+    encoder, r = Encoder(PATH), random.Random(5)
+    texts = [x for x in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if x]
+    texts += ["".join(r.choice(["the", "Inner", " ", "xq", "straße", "_", "\n"]) for _ in range(4000)) for _ in range(3)]
+    for text in sorted(texts, key=len)[-40:]:
+        ids = encoder.encode(text)
+        assert encoder.stream.commits >= len(text.split(" ")) and 0 < encoder.stream.window < 4 * encoder.pieces.longest
+        if len(text) < 5_000:
+            assert np.frombuffer(ids, dtype="<u4").tolist() == brute(text, encoder.pieces)
+
+
+def test_pushed_in_any_parts():
+    r, pieces = random.Random(6), Pieces.of(PATH)
+    for _ in range(30):
+        text = "".join(r.choice("theinga.é") for _ in range(400))
+        stream, out, k = Viterbi(pieces), [], 0
+        while k < len(text):
+            n = r.randrange(1, 60)
+            out += stream.push(text[k : k + n])
+            k += n
+        assert out + stream.close() == brute(text, pieces, lead="")
 
 
 def test_tables(spark):
