@@ -51,6 +51,28 @@ def test_a_hot_digest_and_a_second_batch(spark):
     assert detail["Num Buckets"] == "24" and "digest" in detail["Bucket Columns"] and "digest" in detail["Sort Columns"]
 
 
+def test_batches_and_a_named_index_found_again(spark):
+    docs = spark.range(1000).selectExpr("id AS doc_id", "concat('t', id % 600) AS text")
+    for batches in (1, 2, 5):
+        got = {x.doc_id: (x.keep_id, x.group_size, x.kept) for x in ed.annotate(docs, batches=batches).collect()}
+        assert got == {i: (i % 600, 2 if i % 600 < 400 else 1, i < 600) for i in range(1000)}
+    name = "digests_of_a_test"
+    assert ed.annotate(docs, ed.DigestIndex(spark, name, 8)).filter("kept").count() == 600
+    index = ed.DigestIndex(spark, name)
+    assert index.buckets == 8 and ed.annotate(docs, index).filter("kept").count() == 0
+    index.drop()
+    assert not index.exists()
+
+
+def test_the_anti_join_reads_the_index_by_its_buckets(spark):
+    index = ed.DigestIndex(spark, buckets=8)
+    index.create(0)
+    own = spark.range(10).selectExpr("cast(id AS string) AS digest", "id AS keep").repartition(8, "digest").groupBy("digest").agg({"keep": "min"})
+    plan = own.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.drop()
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = ed.annotate(docs)._jdf.queryExecution().toString()
