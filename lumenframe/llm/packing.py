@@ -2,13 +2,14 @@
 
 Documents are tokenised and cut into pieces of at most `capacity` tokens; only a document longer than that is cut. How pieces
 are combined depends on their lengths alone, of which there are `capacity` at most: the driver plans on that histogram, whose
-size does not grow with the data. Largest first, each length looks up its gap among single lengths, pair sums and triple
-sums, and takes as many exact combinations as the counts allow at once; what finds no exact complement is packed by best fit,
-decreasing. A plan is a list of (lengths, how many sequences). Every piece has a rank among the pieces of its length - the
+size does not grow with the data. Pair sums and triple sums of the lengths there are are indexed once. Largest first, each length
+looks up its gap among single lengths, pair sums and triple sums, and takes as many exact combinations as the counts allow at once;
+what finds no exact complement is packed by best fit, decreasing. A plan is a list of (lengths, how many sequences). Every piece has a rank among the pieces of its length - the
 pieces of its length in earlier tasks, plus its rank within its task - and the plan gives each rank its sequence and offset.
 
 Defined results: a null text is empty and still has its end token; a null doc_id or a repeated row is packed like any other;
-an empty table gives no rows; other columns don't matter.
+a very long text is many pieces, of which the last may be short; of pieces of one length (ties) the order within their tasks
+decides; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -164,11 +165,47 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole_text(docs).alias("text")).mapInArrow(run, ddl)
 
 
-def _uses(lengths: tuple[int, ...]) -> dict[int, int]:
-    out: dict[int, int] = defaultdict(int)
-    for x in lengths:
-        out[x] += 1
-    return out
+class Sums:
+    """Pairs and triples of lengths by their sum, consumed as counts run out.
+
+    `left` counts the pieces of each length and only ever falls, so what is found used up is passed over for good.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, capacity = left, len(left) - 1
+        lengths, there = np.flatnonzero(left)[::-1], left > 0
+        #: By sum: larger parts of its pairs, descending.
+        self.pairs = [lengths[(lengths < s) & (2 * lengths >= s) & there[s - np.minimum(lengths, s)]].tolist() for s in range(capacity + 1)]
+        sums = np.array([bool(x) for x in self.pairs])
+        #: By sum: parts that leave a sum of a pair, descending.
+        self.triples = [lengths[(lengths < s) & sums[s - np.minimum(lengths, s)]].tolist() for s in range(capacity + 1)]
+        self.pair_at, self.triple_at = [0] * (capacity + 1), [0] * (capacity + 1)
+
+    def single(self, length: int, used: tuple[int, ...]) -> tuple[int] | None:
+        return (length,) if self.left[length] > used.count(length) else None
+
+    def pair(self, total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
+        """The pair of that sum with the largest part, of pieces that are there beside `used`."""
+        left, options, k = self.left, self.pairs[total], self.pair_at[total]
+        gone = lambda a: not left[a] or not left[total - a] or 2 * a == total and left[a] < 2
+        while k < len(options) and gone(options[k]):
+            k += 1
+        self.pair_at[total] = k
+        for a in options[k:]:
+            b = total - a
+            if not gone(a) and left[a] > used.count(a) + (a == b) and left[b] > used.count(b):
+                return a, b
+        return None
+
+    def triple(self, total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        left, options, k = self.left, self.triples[total], self.triple_at[total]
+        while k < len(options) and (not left[options[k]] or self.pair_at[total - options[k]] == len(self.pairs[total - options[k]])):
+            k += 1
+        self.triple_at[total] = k
+        for a in options[k:]:
+            if left[a] > used.count(a) and (rest := self.pair(total - a, (*used, a))):
+                return a, *rest
+        return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -176,53 +213,20 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-    rest: dict[int, int] = {}
-
-    def take(lengths: tuple[int, ...]) -> bool:
-        many = min(int(left[x]) // k for x, k in _uses(lengths).items())
-        if many:
-            out.append((lengths, many))
-            for x in lengths:
-                left[x] -= many
-        return many > 0
-
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """The largest a <= most, and b <= a, that sum to total and are both there."""
-        top, low = min(most, total - 1), (total + 1) // 2
-        if top < low:
-            return None
-        a = np.arange(top, low - 1, -1)
-        both = (left[a] > 0) & (left[total - a] > 0) & ((a * 2 != total) | (left[a] > 1))
-        k = int(both.argmax())
-        return (int(a[k]), total - int(a[k])) if both[k] else None
-
-    def complement(length: int) -> tuple[int, ...] | None:
-        gap = capacity - length
-        left[length] -= 1  # the piece that is to be completed
-        try:
-            if not gap or gap <= length and left[gap]:
-                return (gap,) if gap else ()
-            if found := pair(gap, length):
-                return found
-            for a in np.flatnonzero(left[: min(length, gap - 2) + 1])[::-1].tolist():
-                if 3 * a < gap:
-                    break
-                left[a] -= 1
-                found = pair(gap - a, a)
-                left[a] += 1
-                if found:
-                    return (a, *found)
-            return None
-        finally:
-            left[length] += 1
-
+    sums, out, rest = Sums(left), [], {}
     for length in range(capacity, 0, -1):
+        gap, own = capacity - length, (length,)
         while left[length]:
-            others = complement(length)
-            if others is None or not take((length, *others)):
+            others = (sums.single(gap, own) or sums.pair(gap, own) or sums.triple(gap, own)) if gap else ()
+            if others is None:
                 rest[length] = int(left[length])
                 left[length] = 0
+                break
+            lengths = own + others
+            many = min(int(left[x]) // lengths.count(x) for x in lengths)
+            out.append((lengths, many))
+            for x in lengths:
+                left[x] -= many
     return out + _best_fit(rest, capacity)
 
 

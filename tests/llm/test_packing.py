@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -52,6 +53,53 @@ def test_plan_uses_every_piece_and_few_sequences(seed):
     assert sum(m for _, m in plan) <= 1.01 * math.ceil(sum(a * b for a, b in counts.items()) / 256) + 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sums_against_brute_force(seed):
+    """A single, pair or triple is found just where one is there, and it fills the gap."""
+    r, capacity = random.Random(seed), 30
+    left = np.array([0] + [r.choice([0, 0, 1, 2, 3]) for _ in range(capacity)])
+    sums = packing.Sums(left)
+    for _ in range(200):
+        there = [x for x in range(1, capacity + 1) for _ in range(left[x])]
+        if not there:
+            break
+        own = r.choice(there)
+        others = list(there)
+        others.remove(own)
+        gap = r.randrange(1, capacity)
+        for k, find in enumerate((sums.single, sums.pair, sums.triple), 1):
+            found, exists = find(gap, (own,)), any(sum(c) == gap for c in itertools.combinations(others, k)) if len(others) < 60 or k < 3 else None
+            assert exists is None or (found is not None) == exists
+            if found:
+                rest = list(others)
+                for x in found:
+                    rest.remove(x)
+                assert sum(found) == gap
+        left[r.choice(there)] -= 1
+
+
+def test_few_sequences_against_the_best_there_is():
+    """Small cases: as few sequences as any partition, or one more."""
+    r = random.Random(11)
+    for _ in range(40):
+        capacity, pieces = 12, [r.randrange(1, 13) for _ in range(7)]
+
+        def fewest(rest, rooms):
+            if not rest:
+                return len(rooms)
+            x, more = rest[0], rest[1:]
+            tries = [fewest(more, [*rooms, capacity - x])]
+            for k, room in enumerate(rooms):
+                if room >= x:
+                    tries.append(fewest(more, [*rooms[:k], room - x, *rooms[k + 1 :]]))
+            return min(tries)
+
+        counts = defaultdict(int)
+        for x in pieces:
+            counts[x] += 1
+        assert sum(m for _, m in packing.plan(counts, capacity)) <= fewest(sorted(pieces, reverse=True), []) + 1
+
+
 def test_plan_edges():
     assert packing.plan({}, 8) == []
     assert sum(m for _, m in packing.plan({4: 5}, 8)) == 3
