@@ -5,9 +5,10 @@ a mixture: expectation-maximisation finds the proportions of languages that make
 languages is chosen by penalised likelihood - from all languages, the one of least share is dropped as long as the likelihood
 lost is below the penalty of a language. As trigrams overlap, a third of their number counts as observations.
 
-Defined results: `und` with score 0 for a null text, one without letters, or where nothing was learned; ties go to the language
-first in the alphabet; training ignores a null lang and a null text; every other language of the training documents is learned,
-whatever its share; whole texts are used for training and prediction.
+Defined results: `und` with score 0 for a null text, one without letters (signs and number forms such as a half are none), or
+where nothing was learned; ties go to the language first in the alphabet; training ignores a null lang and a null text; every
+other language of the training documents is learned, whatever its share; whole texts are used for training and prediction,
+however long. A null doc_id and repeated rows are predicted like any other; an empty table gives none; further columns don't matter.
 
 The model holds 12 bytes for each pair of a cell and a language that occurs. A document's likelihoods are a full matrix where that
 is small (FULL), else only what occurs and one value a language for the rest, which gives the same proportions.
@@ -31,7 +32,8 @@ CELLS = 1 << 16
 FULL = 1 << 20
 #: Pairs of language and cell a task holds before it sends its counts on.
 HELD = 2_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and a few signs and number forms that are none.
+_LIKELY = re.compile(r"[^\W\d_]")
 
 
 def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +48,10 @@ def _cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell.astype(np.int64), code != 0x202020
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LIKELY.finditer(text))
+
+
 def _padded(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     blank = np.array([32], dtype=np.uint8)
     return [np.concatenate([blank, data[a:b], blank]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -122,12 +128,10 @@ def fit(docs: DataFrame) -> Model:
             langs = np.array([numbers.value[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             for i, j, data, offsets in text_chunks(batch, "text"):
                 texts, own = _padded(data, offsets), langs[i:j]
-                # texts of one language together; a blank at either end keeps them apart
-                order = np.argsort(own, kind="stable")
-                cell, is_one = _cells(np.concatenate([texts[x] for x in order.tolist()]))
-                lang = np.repeat(own[order], [len(texts[x]) for x in order.tolist()])
-                is_one &= lang[:-2] == lang[2:]
-                k, n = distinct((lang[:-2][is_one] << 16) | cell[is_one])
+                cell, is_one = _cells(np.concatenate(texts))
+                text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+                is_one &= text[:-2] == text[2:]  # none reaches from one text into the next
+                k, n = distinct((own[text[:-2][is_one]] << 16) | cell[is_one])
                 keys.append(k), counts.append(n)
                 held += len(k)
                 if held > HELD:
@@ -193,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         languages = model.languages
         for batch in batches:
             preds, scores, sets = [], [], []
-            letters = [languages and _LETTER.search(x.as_py()) is not None for x in batch.column(1)]
+            letters = [bool(languages) and has_letter(x.as_py()) for x in batch.column(1)]
             for i, j, data, offsets in text_chunks(batch, "text"):
                 for text, ok in zip(_padded(data, offsets), letters[i:j], strict=True):
                     if not ok:

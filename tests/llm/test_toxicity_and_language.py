@@ -69,10 +69,10 @@ def test_mixtures_and_odd_texts(spark):
     model = language_id.fit(docs)
     texts = {x.lang: x.text for x in docs.filter("n_chars > 3000").collect()}
     mixed = texts["en"][:2000] + "\n" + texts["de"][:900]
-    odd = spark.createDataFrame([(1, mixed, 9), (2, None, 9), (3, "", 9), (4, "123 %% -", 9), (5, texts["fr"] * 40, 9), (None, texts["es"], 9), (6, "ß", 9)], "doc_id long, text string, score int")
+    odd = spark.createDataFrame([(1, mixed, 9), (2, None, 9), (3, "", 9), (4, "123 %% -", 9), (7, "½ ² Ⅷ ①", 9), (8, "½ é", 9), (5, texts["fr"] * 40, 9), (None, texts["es"], 9), (6, "ß", 9)], "doc_id long, text string, score int")
     got = {x.doc_id: x for x in language_id.predict(odd, model).collect()}
     assert got[1].lang_pred == "en" and got[1].languages == ["de", "en"] and 0.55 < got[1].score < 0.85
-    assert [(got[k].lang_pred, got[k].score) for k in (2, 3, 4)] == [("und", 0.0)] * 3
+    assert [(got[k].lang_pred, got[k].score) for k in (2, 3, 4, 7)] == [("und", 0.0)] * 4 and got[8].lang_pred != "und"
     assert got[5].lang_pred == "fr" and got[None].lang_pred == "es" and got[6].lang_pred in {"de", "en", "es", "fr"}
     none = language_id.fit(docs.limit(0))
     assert {x.lang_pred for x in language_id.predict(odd, none).collect()} == {"und"}
@@ -109,3 +109,73 @@ def test_many_languages_give_the_same_with_and_without_the_full_matrix(monkeypat
     monkeypatch.setattr(language_id, "FULL", 0)
     got, sparse = language_id.select(p, seen)
     assert got == want and np.allclose(share, sparse)
+
+
+def test_language_model_and_shares_against_brute_force(spark):
+    """Trigram counts, likelihoods and EM shares, computed again by plain loops."""
+    from collections import Counter
+
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abcdé fg." if i % 2 else "efgh ijk1") for _ in range(r.randrange(1, 200))), "ab"[i % 2]) for i in range(60)] + [(100, None, "a"), (101, "", "b"), (102, "x y", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def cells(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        data = bytes([32, *(32 if b < 97 or 122 < b < 128 else b for b in low), 32])
+        codes = [data[k] << 16 | data[k + 1] << 8 | data[k + 2] for k in range(len(data) - 2)]
+        return Counter(((c * 2654435769) & 0xFFFFFFFF) >> 16 for c in codes if c != 0x202020)
+
+    counts = {x: sum((cells(t) for _, t, lang in rows if lang == x and t is not None), Counter()) for x in "ab"}
+    likelihood = lambda lang, cell: (counts[lang][cell] + 0.5) / (sum(counts[lang].values()) + 0.5 * language_id.CELLS)
+    found = {x.doc_id: x for x in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert found[i].lang_pred == "und"
+            continue
+        own = sorted(cells(text).items())
+        p = np.array([[likelihood(x, c) for x in "ab"] for c, _ in own])
+        n = np.array([k for _, k in own]) / 3
+
+        def em(p):
+            share = np.full(p.shape[1], 1 / p.shape[1])
+            for _ in range(30 if p.shape[1] > 1 else 0):
+                new = np.array([sum(n[k] * share[j] * p[k, j] / sum(share[m] * p[k, m] for m in range(p.shape[1])) for k in range(len(n))) for j in range(p.shape[1])]) / n.sum()
+                done = np.abs(new - share).max() < 1e-4
+                share = new
+                if done:
+                    break
+            return share, sum(n[k] * np.log(sum(share[j] * p[k, j] for j in range(p.shape[1]))) for k in range(len(n)))
+
+        share, best = em(p)
+        chosen = [0, 1]
+        least = int(share.argmin())
+        _, alone = em(p[:, [1 - least]])
+        if best - alone <= 3 + 0.5 * np.log1p(n.sum()):
+            chosen, share = [1 - least], np.ones(1)
+        k = int(share.argmax())
+        assert found[i].lang_pred == "ab"[chosen[k]] and abs(found[i].score - share[k]) < 1e-9
+
+
+def test_the_ordinal_fit_is_the_likelihoods_maximum():
+    """Against a plain likelihood: no small step in any parameter makes it better."""
+    r = np.random.default_rng(8)
+    rows = [{int(f): float(v) for f, v in zip(r.choice(4, 2, replace=False), r.random(2) * 2, strict=True)} for _ in range(400)]
+    grade = np.array([min(2, int(max(0, 1.5 * x.get(0, 0) - x.get(1, 0) + r.logistic() * 0.7))) for x in rows])
+    w, theta = toxicity.fit_ordinal(rows, grade, 4, ridge=1e-2, steps=3000, rate=0.02)
+
+    def cost(w, theta):
+        total = 0.0
+        for x, g in zip(rows, grade, strict=True):
+            z = sum(w[f] * v for f, v in x.items())
+            upper = 1.0 if g == 2 else 1 / (1 + np.exp(z - theta[g]))
+            lower = 0.0 if g == 0 else 1 / (1 + np.exp(z - theta[g - 1]))
+            total -= np.log(upper - lower)
+        return total / len(rows) + 0.5e-2 * (w @ w)
+
+    best = cost(w, theta)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            assert cost(w + step * np.eye(4)[k], theta) > best
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert cost(w, theta + step * np.eye(2)[k]) > best
