@@ -59,6 +59,50 @@ def test_dedup_keeps_columns_and_the_smallest(spark):
     assert minhash.annotate(docs.limit(0)).collect() == []
 
 
+def family(n, changed, seed=3):
+    """Texts of 200 words, of which each replaces so many by its own."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(200), changed):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_family_below_the_threshold_gives_few_rows(spark, monkeypatch):
+    """Pairs of a similarity of 0.6 to 0.76: links are no more than rows, though nearly all pairs are alike by signature."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    written = {}
+    plain = minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df, name: written.setdefault(name, []).append(out := plain(df, name)) or out)
+    sizes = []
+    real_drop = minhash.drop
+    monkeypatch.setattr(minhash, "drop", lambda df: sizes.extend(x.count() for x in written.get("linked", [])[len(sizes) :]) or real_drop(df))
+    rows = family(300, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.annotate(docs).collect()}
+    assert got == brute(rows)
+    assert len(sizes) == 3 and max(sizes) <= 20 * 300
+
+
+def test_small_blocks_and_split_buckets(spark, monkeypatch):
+    rows = corpus(7, 4, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SHINGLES", 3000)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.annotate(docs).collect()} == brute(rows)
+
+
+def test_large_ids_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**62 + 5, text), (2**62 + 9, text + " x"), (None, "lone text here"), (2**63 - 1, "other"), (None, None)]
+    got = {(x.doc_id, x.component_id, x.kept) for x in minhash.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2**62 + 5, 2**62 + 5, True), (2**62 + 9, 2**62 + 5, False), (None, None, True), (2**63 - 1, 2**63 - 1, True)}
+
+
 def test_components_of_a_path_a_star_and_a_clique(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(a, b) for a in range(200, 208) for b in range(a)if b >= 200] + [(7, 7)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
