@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy pass works on: bounds a worker's memory to some 30 times this.
 CHUNK = 1 << 20
+#: Rows that one key of keyed() may have.
+COPIES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +55,11 @@ def whole_text(df: DataFrame, column: str = "text") -> F.Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
 
+def most_rows(df: DataFrame, key: str) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(_d, _c, text): one row per input row, with a key that is unique even where doc_id is null or repeated.
 
@@ -60,7 +67,9 @@ def keyed(docs: DataFrame) -> DataFrame:
     looked up first over the ids alone; only then are texts ranked.
     """
     base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("_d"), whole_text(docs).alias("text"))
-    if base.groupBy("_d").count().filter("count > 1").isEmpty():
+    if (most := most_rows(base, "_d")) > COPIES:
+        raise ValueError(f"{most} rows of one doc_id, or without one")
+    if most < 2:
         return base.select("_d", F.lit(0).alias("_c"), "text")
     from pyspark.sql import Window
 

@@ -7,7 +7,9 @@ is removed; texts are UTF-8 bytes and strings never cross documents.
    have the same least gram, so they meet under one anchor. Contexts that are equal under an anchor are put together before and
    after the shuffle: all but the first are repeats whole.
 2. Of an anchor that occurs several times, or whose one context may hold a string twice, the first context of each kind gets
-   its bytes and is dealt by anchor. An anchor of very many different contexts is dealt by string instead, so that no task holds it alone.
+   its bytes and is dealt by anchor. Under an anchor of very many different contexts (a line that stands on very many pages) the
+   strings are too many of one kind for a task: there each string's least place is a grouped minimum of its 128-bit hash, made
+   before and after the shuffle, and met by its other places over salts. So no task holds such an anchor or string alone.
 3. A task takes contexts in batches of bounded size, ordered by where they stand. A batch is dealt into shards; each shard's
    rotations are sorted and give its Burrows-Wheeler transform. The transforms are merged by interleave refinement: an
    interleave says which shard the next row comes from; a pass sorts it stably by the symbols before its rows, which orders it by
@@ -16,7 +18,8 @@ is removed; texts are UTF-8 bytes and strings never cross documents.
    least position is the first; the others are repeats.
 
 Defined results: a null text is empty; a null doc_id comes last; rows of one doc_id are separate documents, ordered by text;
-texts shorter than `width` lose nothing; an empty table gives none; further columns don't matter.
+texts shorter than `width` lose nothing; a very long text is cut into contexts like any other; an empty table gives none; further
+columns don't matter, whatever their names. More than 2^20 rows of one doc_id (or without one) raise ValueError.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ GRAM = 16
 #: Starts of a context at most, contexts of an anchor beyond which it is dealt by string, bytes of a batch and of a shard, and
 #: of texts looked at in one go.
 RUN, MANY, BATCH, SHARD, TEXTS = 512, 5_000, 1 << 19, 1 << 17, 1 << 20
+#: Salts over which the places of a string are dealt where it may stand very often.
+SALTS = 16
 #: Bytes of a symbol of the transforms.
 SYMBOL = 32
 
@@ -168,40 +173,62 @@ def _sifted(anchored: DataFrame, width: int) -> DataFrame:
     return anchored.repartition("a").sortWithinPartitions("a", "c", "_d", "p").mapInArrow(run, "a long, _d long, _c int, s int, e int")
 
 
-def _with_bytes(docs: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """(a, _d, _c, s, bytes) of contexts; under anchors of very many contexts, one row per string, under the string's hash."""
+def _wanted(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(_d, _c, text, of: the contexts in it)."""
+    of = contexts.groupBy("_d", "_c").agg(F.collect_list(F.struct("a", "s", "e")).alias("of"))
+    return docs.join(of, ["_d", "_c"]).select("_d", "_c", "text", "of")
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Scalar, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: document, copy, text, and the anchors, starts and ends of its contexts."""
+    lists = batch.column(3)
+    flat, ends = lists.flatten(), lists.offsets.to_numpy()
+    a, s, e = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    ends = ends - ends[0]
+    for k, (d, c, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
+        own = slice(ends[k], ends[k + 1])
+        yield d, c, text, a[own], s[own], e[own]
+
+
+def _with_bytes(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(a, _d, _c, s, bytes) of contexts."""
     schema = pa.schema([("a", pa.int64()), ("_d", pa.int64()), ("_c", pa.int32()), ("s", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered("suffix_dedup")
         for batch in batches:
-            ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists, at = batch.column(3), 0
-            flat, ends = lists.flatten(), lists.offsets.to_numpy()
-            a, s, e, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            ends = ends - ends[0]
             rows: list[list] = [[] for _ in schema]
-            for k, text in enumerate(batch.column(2)):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                prefix = None
-                for at in range(ends[k], ends[k + 1]):
-                    if not many[at]:
-                        own = [(a[at], s[at], e[at])]
-                    else:
-                        prefix = prefix_hash(data) if prefix is None else prefix
-                        starts = np.arange(s[at], e[at] - width + 1)
-                        own = zip(mix(span_hash(prefix, starts, starts + width)).view(np.int64).tolist(), starts.tolist(), (starts + width).tolist(), strict=True)
-                    for anchor, start, end in own:
-                        for out, x in zip(rows, (anchor, ids[k], copies[k], start, data[start:end].tobytes()), strict=True):
-                            out.append(x)
+            for d, c, text, anchors, starts, ends in _each(batch):
+                data = text.as_buffer().to_pybytes()
+                for anchor, start, end in zip(anchors.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                    for out, x in zip(rows, (anchor, d, c, start, data[start:end]), strict=True):
+                        out.append(x)
                 if len(rows[0]) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
                     rows = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
-    crowded = firsts.groupBy("a").agg((F.count(F.lit(1)) > MANY).alias("many"))
-    wanted = firsts.join(crowded, "a").groupBy("_d", "_c").agg(F.collect_list(F.struct("a", "s", "e", "many")).alias("of"))
-    return docs.join(wanted, ["_d", "_c"]).select("_d", "_c", "text", "of").mapInArrow(run, "a long, _d long, _c int, s int, bytes binary")
+    return _wanted(docs, contexts).mapInArrow(run, "a long, _d long, _c int, s int, bytes binary")
+
+
+def _frequent(docs: DataFrame, contexts: DataFrame, width: int) -> DataFrame:
+    """Removed spans (_d, _c, s, e) of contexts whose strings may stand very often: all places of a string but the least."""
+    schema = pa.schema([("h", pa.binary()), ("_d", pa.int64()), ("_c", pa.int32()), ("s", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("suffix_dedup")
+        for batch in batches:
+            for d, c, text, _, starts, ends in _each(batch):
+                data = text.as_buffer().to_pybytes()
+                places = np.concatenate([np.arange(s, e - width + 1) for s, e in zip(starts, ends, strict=True)]).astype(np.int32)
+                hashed = [hashlib.blake2b(data[k : k + width], digest_size=16).digest() for k in places.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.binary()), pa.array([d] * len(places), pa.int64()), pa.array([c] * len(places), pa.int32()), pa.array(places)], schema=schema)
+
+    place = F.struct("_d", "_c", "s")
+    places = cut(_wanted(docs, contexts).mapInArrow(run, "h binary, _d long, _c int, s int"), "places")
+    least = places.groupBy("h").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = places.withColumn("salt", F.pmod(F.xxhash64("_d", "_c", "s"), F.lit(SALTS)).cast("int")).join(least, ["h", "salt"]).filter(place != F.col("least"))
+    return others.select("_d", "_c", "s", (F.col("s") + width).cast("int").alias("e"))
 
 
 def _fours(data: np.ndarray) -> np.ndarray:
@@ -353,7 +380,12 @@ def spans(docs: DataFrame, width: int = 100) -> DataFrame:
         raise ValueError("width is to be a gram at least")
     found = cut(_sifted(_anchored(docs, width), width), "sifted")
     firsts = found.filter("a IS NOT NULL")
-    return found.filter("a IS NULL").drop("a").unionAll(_merged(_with_bytes(docs, firsts, width), width))
+    crowded = cut(firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("a"), "crowded")
+    removed = found.filter("a IS NULL").drop("a")
+    if not crowded.isEmpty():
+        removed = removed.unionAll(_frequent(docs, firsts.join(crowded, "a", "left_semi"), width))
+        firsts = firsts.join(crowded, "a", "left_anti")
+    return removed.unionAll(_merged(_with_bytes(docs, firsts), width))
 
 
 def _per_document(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -113,3 +113,25 @@ def test_repeated_ids_nulls_and_strip(spark):
     left = sorted((x.doc_id or 0, x.text) for x in sd.strip(docs).collect() if x.text is not None)
     assert left[0] == (0, "") and (4, " the end") in left and (3, "ok") in left
     assert sd.annotate(docs.limit(0)).collect() == [] and sd.strip(docs.limit(0)).collect() == []
+
+
+def test_strings_of_crowded_anchors(spark, monkeypatch):
+    monkeypatch.setattr(sd, "MANY", 2)
+    rows = corpus(4)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_a_line_on_very_many_pages(spark):
+    r = random.Random(8)
+    line = " ".join(f"boiler{i}plate" for i in range(14))
+    rows = [(i, f"{r.getrandbits(200):x} {line} {r.getrandbits(200):x}") for i in range(sd.MANY + 1500)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_strip_keeps_columns_of_any_name(spark):
+    text = "passage " * 20
+    rows = [(1, text, "a", 7, None), (2, "x" + text, "b", 8, "z"), (3, None, None, 9, "c0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _d string, spans int, c0 string")
+    left = sd.strip(docs)
+    assert left.columns == docs.columns
+    assert sorted((x[0], x[2], x[3], x[4]) for x in left.collect()) == [(i, d, s, c) for i, _, d, s, c in rows]
