@@ -1,24 +1,27 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k | x) = sigmoid(theta_k - w.x): one weight vector serves all ordered thresholds. x holds log(1 + tf) of chosen
-features of a text: its lower-cased words and their character 4- and 5-grams, word ends marked. Features are those more common
-in documents labelled toxic, by a likelihood ratio that holds against the number of features tried; their number is bounded.
+features of a text: its lower-cased words and their character 4- and 5-grams, word ends marked. Features are all those more common in documents labelled toxic, by a likelihood ratio that holds against the number of features tried; the sample bounds their number.
 The expected grade, sum over k of P(grade > k), is the severity; a document is toxic where P(grade > 0) reaches a threshold (0.25:
 the few who are labelled toxic are missed more easily than clean documents are mistaken).
 
 The model is fitted on a bounded sample of labelled documents (`sample`, those with the smallest hashes of doc_id); all
 documents are scored whole. Labels are 0/1, so grades are derived: 0 is a document labelled clean; the toxic ones are dealt
-into grades 1..K by how many occurrences of the chosen features they hold.
+into grades 1..K by how surely toxic a model finds them that was fitted on the other half of the sample (halves by text, so that
+copies are in one).
 
 Defined results: a null or empty text has no features and gets the model's grade for that; without any toxic label (an empty
-labels table, one class) nothing is toxic and severity is 0; null labels don't count; a doc_id labelled twice counts as toxic
-if either says so; columns of other names pass or don't matter.
+labels table, one class) nothing is toxic and severity is 0; null labels and labels of a null doc_id don't count; a doc_id labelled
+twice counts as toxic if either says so; rows that repeat are scored each, and of labelled ones each counts; a null doc_id is
+scored like any other; a very long text is gone through token by token, its counts being as many as there are features; an empty
+table gives none; columns of other names pass or don't matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -85,7 +88,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return texts.join(F.broadcast(some), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
 
-def choose(rows: DataFrame, most: int) -> list[str]:
+def choose(rows: DataFrame) -> list[str]:
     """Features more common in toxic texts, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +122,7 @@ def choose(rows: DataFrame, most: int) -> list[str]:
     ratio = 2 * (share(F.col("t"), a * p) + share(F.col("c"), b * p) + share(a - F.col("t"), a * (1 - p) + 1e-9) + share(b - F.col("c"), b * (1 - p) + 1e-9))
     table = table.withColumn("ratio", ratio).filter((F.col("t") / a > 4 * F.col("c") / b))
     tried = max(2, table.count())
-    best = table.filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "feature").limit(most)
+    best = table.filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "feature")
     return [x["feature"] for x in best.select("feature").collect()]
 
 
@@ -154,10 +157,10 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_features: in
     return free[:n_features], free[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(free[n_features + 1 :]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 4096, grades: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grades: int = 3) -> Model:
     """The model of `grades` ordered grades from 0."""
     rows = cut(labelled(docs, labels, sample), "labelled")
-    names = choose(rows, most_features)
+    names = choose(rows)
     if not names:
         return Model()
     chosen = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
@@ -167,15 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features:
         count = Counts(chosen.value)
         for batch in batches:
             found = [count(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], names=["toxic", "f", "n"])
-
-    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, f array<int>, n array<int>").collect()  # at most `sample` rows of chosen features
-    toxic = np.array([x["toxic"] for x in got])
-    hits = np.array([sum(x["n"]) for x in got])
-    edges = np.quantile(hits[toxic > 0], np.arange(1, grades - 1) / (grades - 1))
-    grade = np.where(toxic > 0, 1 + np.searchsorted(edges, hits, side="left"), 0)
+            lists = [pa.array([list(of(x)) for x in found], pa.list_(pa.int32())) for of in (Counter.keys, Counter.values)]
+            half = pa.array([zlib.crc32(x.as_buffer()) & 1 for x in batch.column(0)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), half, *lists], names=["toxic", "half", "f", "n"])
+
+    got = rows.select("text", "toxic").mapInArrow(run, "toxic int, half int, f array<int>, n array<int>").collect()  # at most `sample` rows of chosen features
+    toxic, half = (np.array([x[c] for x in got]) for c in ("toxic", "half"))
+    inputs = [{f: math.log1p(n) for f, n in zip(x["f"], x["n"], strict=True)} for x in got]
+    sure = np.array([sum(x.values()) for x in inputs], dtype=float)
+    if all(len(set(toxic[half == k].tolist())) == 2 for k in (0, 1)):
+        for k in (0, 1):
+            w, theta = fit_ordinal([x for x, h in zip(inputs, half, strict=True) if h != k], toxic[half != k], len(names))
+            own = np.flatnonzero(half == k)
+            sure[own] = [sum(w[f] * v for f, v in inputs[i].items()) - theta[0] for i in own]
+    edges = np.quantile(sure[toxic > 0], np.arange(1, grades - 1) / (grades - 1))
+    grade = np.where(toxic > 0, 1 + np.searchsorted(edges, sure, side="left"), 0)
     _, grade = np.unique(grade, return_inverse=True)  # a grade that nobody has is left out
-    w, theta = fit_ordinal([{f: math.log1p(n) for f, n in zip(x["f"], x["n"], strict=True)} for x in got], grade, len(names))
+    w, theta = fit_ordinal(inputs, grade, len(names))
     return Model(dict(zip(names, w.tolist(), strict=True)), tuple(theta.tolist()))
 
 
