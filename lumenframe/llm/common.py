@@ -19,12 +19,15 @@ COPIES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one that is then set."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one that is then set - on one machine only, as other
+    machines don't see it."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,6 +53,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it is read from fewer files than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def whole_text(df: DataFrame, column: str = "text") -> F.Column:
     """The text, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

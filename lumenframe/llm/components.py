@@ -2,6 +2,9 @@
 
 Each pass is a grouped minimum and a join on it; a hub's neighbours are split by adaptive skew handling, its minimum by partial
 aggregation. Links and labels stay in tables; the driver sees a count and a checksum a pass.
+
+Defined results: links from a node to itself don't count, repeated ones and both directions are one; null ends are linked with
+nothing; ties can't be, as nodes are distinct numbers; an empty table gives none; further columns don't matter.
 """
 
 from __future__ import annotations

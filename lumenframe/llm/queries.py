@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import chat_format, exact_dedup, language_id, minhash, packing, sentencepiece, suffix_dedup, suffix_lm, topk_search, toxicity
+from lumenframe.llm.common import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,7 +33,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer(name: str) -> str:

@@ -63,3 +63,37 @@ def test_stages_one_by_one_and_run(spark):
         places[x.sequence_id].append((x.offset, x.length))
     for parts in places.values():
         assert [o for o, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts))])[:-1].tolist() and sum(n for _, n in parts) <= 2048
+
+
+def write(spark, folder, rows, labels):
+    ddl = "doc_id long, text string, lang string, source string, n_chars int, node string, spans int, _d string, digest string, c0 int"
+    full = [(i, t, "en", "s", len(t or ""), f"n{k}", k, None, "x", k) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(full, ddl).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_odd_rows_run_through_all_stages(spark, tmp_path):
+    passage = " ".join(f"shared{i}" for i in range(30))
+    lead, tail = " ".join(f"lead{i}" for i in range(40)) + " ", " " + " ".join(f"tail{i}" for i in range(40))
+    long_ = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+    rows = [(5, None), (None, None), (3, ""), (7, "one  text"), (6, "one text"), (6, "one text"), (None, "one\ttext"), (8, lead + passage), (9, passage + tail), (9, "another text"), (20, long_), (2**62 + 1, "large id")]
+    docs, labels = write(spark, tmp_path, rows, [(8, 1, 0), (9, None, None), (None, 1, 1)]), f"{tmp_path}"
+    state, left = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        state = corpus_pipeline.cut(stage(spark, state, labels), "odd")
+        assert state.columns == docs.columns
+        left.append(sorted(((x.doc_id, x.text) for x in state.collect()), key=str))
+    ids = [sorted((i for i, _ in x), key=str) for x in left]
+    assert len(left[0]) == len(rows)
+    assert ids[1] == sorted([3, 6, 8, 9, 9, 20, 2**62 + 1], key=str)
+    assert ids[2] == ids[1] == ids[3]
+    assert (8, lead + passage) in left[3] and (9, "another text") in left[3] and any(i == 9 and t.endswith(tail) and len(t) < len(passage) + len(tail) / 2 for i, t in left[3])
+    packed = corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    assert {x.doc_id for x in packed} == {3, 6, 8, 9, 20, 2**62 + 1}
+    assert sum(x.piece > 0 for x in packed) > 10
+
+
+def test_empty_table(spark, tmp_path):
+    write(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}").collect() == []
