@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one on a single machine, and an error on a cluster."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
+    import tempfile
+
+    path = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df by a checkpoint in the folder all executors share (a temporary one is set where there is none)."""
+    """df by a checkpoint in the folder all executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if path := df.sparkSession.conf.get("spark.checkpoint.dir", None):
-            context.setCheckpointDir(path)
-        else:
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

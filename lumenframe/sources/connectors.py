@@ -121,7 +121,7 @@ class _open:  # noqa: N801
         else:
             import duckdb
 
-            self.c = duckdb.connect(path, read_only=True)
+            self.c = duckdb.connect(path, read_only=path != ":memory:")
 
     def __enter__(self):
         return self.c
@@ -178,11 +178,19 @@ def write_jdbc(df: DataFrame, url: str, table: str, if_exists: str = "fail", **o
     df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, driver=DRIVERS[url.split(":")[1]], **options).save()
 
 
-def write_arrow(df: DataFrame, path: str, stream: bool = False) -> None:
-    """One local file, batch by batch; for results that are to leave the cluster."""
-    table = df.toArrow()
-    with (pa.ipc.new_stream if stream else pa.ipc.new_file)(path, table.schema) as out:
-        out.write_table(table)
+def write_arrow(df: DataFrame, path: str, stream: bool = False, batch: int = 50_000) -> None:
+    """One local file, batch by batch, a partition at a time on the driver; for results that are to leave the cluster."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema, names, held = to_arrow_schema(df.schema), df.columns, []
+    with (pa.ipc.new_stream if stream else pa.ipc.new_file)(path, schema) as out:
+        for row in df.toLocalIterator():
+            held.append(dict(zip(names, row, strict=True)))
+            if len(held) == batch:
+                out.write_batch(pa.RecordBatch.from_pylist(held, schema=schema))
+                held.clear()
+        if held:
+            out.write_batch(pa.RecordBatch.from_pylist(held, schema=schema))
 
 
 def write_sqlite(df: DataFrame, path: str, table: str, if_exists: str = "fail") -> None:

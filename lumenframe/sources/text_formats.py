@@ -21,8 +21,10 @@ def _typed(c: Column, kind: str) -> Column:
     return c if kind == "string" else F.lower(c).try_cast(kind) if kind == "boolean" else c.try_cast(kind)
 
 
-def infer(df: DataFrame) -> dict[str, str]:
-    """The narrowest of bigint, double, boolean and string that all values of each string column have."""
+def infer(df: DataFrame, sample: int | None = None) -> dict[str, str]:
+    """The narrowest of bigint, double, boolean and string that all values of each string column have (of `sample` rows, if
+    given; later values of another type are null then)."""
+    df = df.limit(sample) if sample else df
     aggs = [F.count_if(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").rlike(p)).alias(f"{i}_{k}") for i, c in enumerate(df.columns) for k, p in (("bigint", _INT), ("double", _FLOAT), ("boolean", _BOOL))]
     aggs += [F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs).first()
@@ -31,13 +33,15 @@ def infer(df: DataFrame) -> dict[str, str]:
 
 def read_csv(
     spark: SparkSession, path: str, sep: str = ",", quote: str = '"', header: bool = True, null_values: Sequence[str] = (), names: Sequence[str] | None = None, types: dict[str, str] | None = None,
-    comment: str | None = None, trim: bool = False, skip_rows: int = 0, max_rows: int | None = None,
+    comment: str | None = None, trim: bool = False, skip_rows: int = 0, max_rows: int | None = None, multi_line: bool = True, infer_sample_size: int | None = None,
 ) -> DataFrame:
-    """Quoted fields may hold the separator, doubled quotes and line ends. Without a header columns are column_0, column_1, ...
+    """Quoted fields may hold the separator, doubled quotes and line ends. For large files without line ends in fields, multi_line
+    is to be off: files are split among tasks then, else each is one task.
+    Without a header columns are column_0, column_1, ... Types come from all rows, or from infer_sample_size of them.
 
     skip_rows drops physical lines first, which needs their order: it is for files that one task can read.
     """
-    options = {"sep": sep, "quote": quote, "escape": quote, "multiLine": True, "header": header and not skip_rows, "inferSchema": False, "nullValue": "\0", "ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim}
+    options = {"sep": sep, "quote": quote, "escape": quote, "multiLine": multi_line, "header": header and not skip_rows, "inferSchema": False, "nullValue": "\0", "ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim}
     if comment:
         options["comment"] = comment
     if skip_rows:
@@ -55,7 +59,7 @@ def read_csv(
         raw = raw.limit(max_rows)
     nulls = [*NULLS, *null_values]
     text = raw.select(*[F.when(~F.col(f"`{c}`").isin(nulls), F.col(f"`{c}`")).alias(c) for c in raw.columns])
-    kinds = infer(text) | (types or {})
+    kinds = (infer(text, infer_sample_size) if set(types or {}) < set(text.columns) else {}) | (types or {})
     return text.select(*[_typed(F.col(f"`{c}`"), kinds[c]).alias(c) for c in text.columns])
 
 
@@ -82,8 +86,10 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def to_json_document(df: DataFrame, orient: str = "records") -> DataFrame:
-    """One row: the whole table as a JSON document. For tables that fit one row."""
+def to_json_document(df: DataFrame, orient: str = "records", most: int = 1_000_000) -> DataFrame:
+    """One row: the whole table as a JSON document, of at most `most` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
     if orient == "records":
         return df.agg(F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"}).alias("document"))
     rows = df.agg(F.collect_list(F.struct("*")).alias("rows"))
