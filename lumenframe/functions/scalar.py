@@ -42,14 +42,22 @@ def words(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Each n tokens in a row, joined by a blank."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Each n tokens in a row, joined by a blank: the array beside copies of itself that begin later."""
+    out = tokens
+    for k in range(1, n):
+        later = F.slice(tokens, F.lit(1 + k), F.greatest(F.size(tokens) - k, F.lit(0)))
+        out = F.zip_with(out, later, lambda a, b: F.concat(a, F.lit(" "), b))  # null where the copy has ended
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    starts = F.when(F.char_length(text) >= n, F.sequence(F.lit(1), F.char_length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    """Each n characters in a row; the text is split into characters once."""
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    out = letters
+    for k in range(1, n):
+        later = F.slice(letters, F.lit(1 + k), F.greatest(F.size(letters) - k, F.lit(0)))
+        out = F.zip_with(out, later, lambda a, b: F.concat(a, b))
+    return F.filter(out, lambda x: x.isNotNull())
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,21 +5,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalar as S
 
-#: Common English words.
+#: Stop words.
 STOPWORDS = (
-    "a", "about", "above", "after", "again", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do", "does", "doing", "down", "during",
-    "each", "few", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of",
-    "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under",
-    "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "you", "your",
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "aren't", "as", "at", "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "can't", "cannot", "could",
+    "couldn't", "did", "didn't", "do", "does", "doesn't", "doing", "don't", "down", "during", "each", "few", "for", "from", "further", "get", "got", "had", "hadn't", "has", "hasn't", "have", "haven't", "having", "he", "her", "here", "hers",
+    "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "isn't", "it", "it's", "its", "itself", "just", "let's", "me", "might", "more", "most", "mustn't", "my", "myself", "no", "nor", "not", "of", "off", "on", "once",
+    "only", "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "shan't", "she", "should", "shouldn't", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these",
+    "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "wasn't", "we", "were", "weren't", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "won't", "would", "wouldn't", "you",
+    "your", "yours", "yourself", "yourselves", "also", "back", "even", "first", "go", "going", "good", "great", "know", "like", "look", "make", "much", "new", "now", "old", "one", "people", "really", "right", "say", "see", "still", "take",
+    "tell", "think", "time", "two", "us", "use", "want", "way", "well", "work",
+)
+#: Words of the sentiment lexicon.
+POSITIVE = (
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "awesome", "love", "happy", "joy", "beautiful", "brilliant", "best", "perfect", "superb", "outstanding", "magnificent", "delightful", "impressive", "marvelous",
+    "terrific", "splendid", "fabulous", "pleasant", "nice", "fine", "enjoy", "glad", "pleased", "thankful", "grateful", "exciting", "positive", "success", "win", "winning", "triumph", "celebrate", "cheerful", "bright", "warm", "kind",
+    "generous", "helpful", "clever", "strong", "powerful", "calm", "peaceful", "comfortable",
+)
+NEGATIVE = (
+    "bad", "terrible", "horrible", "awful", "worst", "hate", "ugly", "disgusting", "dreadful", "poor", "sad", "angry", "miserable", "painful", "unhappy", "disappointing", "failure", "fail", "wrong", "broken", "weak", "useless", "annoying",
+    "boring", "stupid", "ridiculous", "pathetic", "lousy", "nasty", "rude", "cruel", "harsh", "toxic", "negative", "disaster", "catastrophe", "tragic", "depressing", "hopeless", "fearful", "worried", "anxious", "stress", "frustrating",
+    "confused", "lost", "lonely", "empty", "dark", "cold",
 )
-#: Words of the built-in sentiment lexicon.
-POSITIVE = ("good", "great", "excellent", "amazing", "wonderful", "love", "best", "happy", "fantastic", "nice")
-NEGATIVE = ("bad", "terrible", "awful", "worst", "hate", "poor", "horrible", "sad", "disappointing", "useless", "idiot", "stupid", "pathetic", "worthless")
 
 
 def tokens(df: DataFrame, text: str, name: str = "tokens") -> DataFrame:
@@ -33,7 +44,22 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def remove_stopwords(column: str):
-    return F.filter(column, lambda t: ~t.isin(*STOPWORDS))
+    """Tokens that aren't stop words, in whatever case."""
+    return F.filter(column, lambda t: ~F.lower(t).isin(*STOPWORDS))
+
+
+def is_stopword(column):
+    return F.lower(column).isin(*STOPWORDS)
+
+
+def whitespace_tokens(column):
+    """What stands between runs of white space."""
+    return F.filter(F.split(column, r"\s+"), lambda t: t != "")
+
+
+def char_tokens(column):
+    """The characters of a text."""
+    return F.filter(F.split(column, ""), lambda t: t != "")
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -44,14 +70,14 @@ def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, weight): n * (ln((1 + documents) / (1 + df)) + 1), each document scaled to length 1.
 
     The number of documents counts those without tokens. Frequent tokens are a join key with as many rows as they have
-    documents, which adaptive execution splits.
+    documents, which adaptive execution splits. Counts are made once: both uses of them read one shuffle.
     """
     counts = token_counts(df, key, text)
     one = df.agg(F.count(F.lit(1)).alias("_all"))
     w = counts.join(document_frequency(counts), "token").crossJoin(F.broadcast(one))
     w = w.withColumn("w", F.col("n") * (F.log((1 + F.col("_all")) / (1 + F.col("df"))) + 1)).select(key, "token", "w")
-    length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
-    return w.join(length, key).select(key, "token", (F.col("w") / F.col("_l")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "token", (F.col("w") / length).alias("weight"))
 
 
 def sentiment(df: DataFrame, text: str) -> DataFrame:

@@ -217,7 +217,7 @@ def _(spark, d):
     return table(spark, d, "part").select(F.explode(S.char_ngrams(F.col("p_name"), 3)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stopword_filter", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")))::BIGINT AS n FROM documents")
+@query("stopword_filter", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda t: t NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + ")))::BIGINT AS n FROM documents")
 def _(spark, d):
     return T.tokens(table(spark, d, "documents"), "text").select("doc_id", F.size(T.remove_stopwords("tokens")).cast("long").alias("n"))
 
@@ -257,10 +257,17 @@ def _(spark, d):
     return T.stems(T.token_counts(table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text"))
 
 
-@query("named_entities", "SELECT item_id, len(regexp_extract_all(text, '[0-9]+'))::BIGINT AS numbers FROM benchmark")
+@query("whitespace_and_char_tokens", "SELECT item_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words, length(text) AS characters FROM benchmark")
 def _(spark, d):
-    got = T.gazetteer(table(spark, d, "benchmark"), "text", {"Paris": "place"}, {"number": "[0-9]+"})
-    return got.select("item_id", F.size(F.filter("entities", lambda e: e["kind"] == F.lit("number"))).cast("long").alias("numbers"))
+    return table(spark, d, "benchmark").select("item_id", F.size(T.whitespace_tokens(F.col("text"))).cast("long").alias("words"), F.size(T.char_tokens(F.col("text"))).cast("long").alias("characters"))
+
+
+@query("named_entities", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'))::BIGINT AS dates, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}'))::BIGINT AS emails, len(regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+'))::BIGINT AS links, len(regexp_extract_all(text, '[0-9]+%'))::BIGINT AS shares FROM documents")
+def _(spark, d):
+    patterns = {"dates": "[0-9]{4}-[0-9]{2}-[0-9]{2}", "emails": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "links": "https?://[A-Za-z0-9./_-]+", "shares": "[0-9]+%"}
+    got = T.gazetteer(table(spark, d, "documents"), "text", {"Paris": "place", "New York": "place", "Berlin": "place"}, patterns)
+    count = lambda k: F.size(F.filter("entities", lambda e: e["kind"] == F.lit(k))).cast("long")
+    return got.select("doc_id", *[count(k).alias(k) for k in patterns])
 
 
 @query("lda_topics")

@@ -17,6 +17,17 @@ def session(app: str = "lumenframe", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Tables of long texts, whose rows are worth dealing anew.
+LONG_ROWS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it is read from fewer files than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG_ROWS else df
