@@ -38,8 +38,8 @@ GRAM = 16
 #: Starts of a context at most, contexts of an anchor beyond which it is dealt by string, bytes of a batch and of a shard, and
 #: of texts looked at in one go.
 RUN, MANY, BATCH, SHARD, TEXTS = 512, 5_000, 1 << 19, 1 << 17, 1 << 20
-#: Salts over which the places of a string are dealt where it may stand very often.
-SALTS = 16
+#: Salts over which the places of a very frequent string are dealt, and as many of such strings as are told to all tasks.
+SALTS, HOT = 16, 10_000
 #: Bytes of a symbol of the transforms.
 SYMBOL = 32
 
@@ -226,8 +226,13 @@ def _frequent(docs: DataFrame, contexts: DataFrame, width: int) -> DataFrame:
 
     place = F.struct("_d", "_c", "s")
     places = cut(_wanted(docs, contexts).mapInArrow(run, "h binary, _d long, _c int, s int"), "places")
-    least = places.groupBy("h").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    others = places.withColumn("salt", F.pmod(F.xxhash64("_d", "_c", "s"), F.lit(SALTS)).cast("int")).join(least, ["h", "salt"]).filter(place != F.col("least"))
+    least = cut(places.groupBy("h").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "least")
+    # the most frequent strings, HOT of them at most, are dealt over salts; the others' places are few enough for a task
+    hot = F.broadcast(least.filter(F.col("n") > MANY).orderBy(F.desc("n")).limit(HOT).select("h", F.lit(True).alias("hot")))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("_d", "_c", "s"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = places.join(hot, "h", "left").withColumn("salt", salt).drop("hot")
+    others = dealt.join(least.join(hot, "h", "left").select("h", "least", salts.alias("salt")), ["h", "salt"]).filter(place != F.col("least"))
     return others.select("_d", "_c", "s", (F.col("s") + width).cast("int").alias("e"))
 
 
