@@ -225,8 +225,9 @@ def _frequent(docs: DataFrame, contexts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.binary()), pa.array([d] * len(places), pa.int64()), pa.array([c] * len(places), pa.int32()), pa.array(places)], schema=schema)
 
     place = F.struct("_d", "_c", "s")
-    places = cut(_wanted(docs, contexts).mapInArrow(run, "h binary, _d long, _c int, s int"), "places")
-    least = cut(places.groupBy("h").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "least")
+    # not written: in one query with the other contexts, texts are shuffled once for all
+    places = _wanted(docs, contexts).mapInArrow(run, "h binary, _d long, _c int, s int")
+    least = places.groupBy("h").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # the most frequent strings, HOT of them at most, are dealt over salts; the others' places are few enough for a task
     hot = F.broadcast(least.filter(F.col("n") > MANY).orderBy(F.desc("n")).limit(HOT).select("h", F.lit(True).alias("hot")))
     salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
