@@ -15,6 +15,7 @@ decides; an empty table gives no rows; other columns don't matter.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -86,31 +87,35 @@ class WordIds:
             self.last, known = known, {}
             self.known = known
         new = set().union(*words).difference(known)
-        known.update((w, self.last[w]) for w in new if w in self.last)
-        self._learn([w for w in new if w not in known])
+        again = new.intersection(self.last)
+        known.update(zip(again, map(self.last.__getitem__, again), strict=True))
+        self._learn(list(new - again))
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
     def _learn(self, words: list[str]) -> None:
         # ASCII punctuation right after letters is a token run of its own, and plain letters are lower-cased one by one,
         # whatever stands around
-        known, stems, parts = self.known, {}, []
+        known, stems, parts = self.known, set(), []
         for w in words:
-            if m := _TAILED.fullmatch(w):
+            stem = w.rstrip(string.punctuation)
+            if stem and stem.isascii() and stem.isalpha():  # what the pattern finds in ASCII
+                tail, stem = w[len(stem) :], stem.lower()
+            elif m := _TAILED.fullmatch(w):
                 stem, tail = m[1].lower(), m[2]
-                stems[tail] = None
             else:
                 stem, tail = w, ""
             parts.append((w, stem, tail))
-            stems[stem] = None
+            stems.add(stem)
+            if tail:
+                stems.add(tail)
         todo = [s for s in stems if s not in known]
-        found = dict(zip(todo, self._encode(todo), strict=True))
+        known.update(zip(todo, self._encode(todo), strict=True))
         for w, stem, tail in parts:
-            known[w] = b"".join(found[x] if x in found else known[x] for x in (stem, tail) if x)
-        known.update(found)
+            known[w] = known[stem] + known[tail] if tail else known[stem]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         found: dict[str, bytes] = {}
-        letters = [w for w in words if _LOWER.fullmatch(w)]
+        letters = [w for w in words if w.isascii() and w.isalpha() and w.islower() or _LOWER.fullmatch(w)]
         for i in range(0, len(letters), 1000):
             some = letters[i : i + 1000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
