@@ -82,14 +82,25 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [x.split() if not _OWN.search(x) else [w for w in _SPACE.split(x) if w] for x in texts]
-        known = self.known
+        known, last = self.known, self.last
         if len(known) > REMEMBERED:
-            self.last, known = known, {}
-            self.known = known
-        new = set().union(*words).difference(known)
-        known.update((w, self.last[w]) for w in new if w in self.last)
-        self._learn([w for w in new if w not in known])
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+            self.last, self.known = last, known = known, {}
+        found = [list(map(known.get, w)) for w in words]
+        gaps = [(w, f, [i for i, x in enumerate(f) if x is None]) for w, f in zip(words, found, strict=True) if None in f]
+        new = {w[i] for w, _, at in gaps for i in at}
+        self._learn([w for w in new if not self._taken_over(w)])
+        for w, f, at in gaps:
+            for i in at:
+                f[i] = known[w[i]]
+        return [b"".join(f) for f in found]
+
+    def _taken_over(self, word: str) -> bool:
+        """Whether the last generation knows the word, which is then one of this generation too."""
+        ids = self.last.get(word)
+        if ids is None:
+            return False
+        self.known[word] = ids
+        return True
 
     def _learn(self, words: list[str]) -> None:
         # ASCII punctuation right after letters is a token run of its own, and plain letters are lower-cased one by one,
@@ -103,28 +114,30 @@ class WordIds:
                 stem, tail = m[1].lower(), m[2]
             else:
                 stem, tail = w, ""
-            parts.append((w, stem, tail))
             stems.add(stem)
             if tail:
                 stems.add(tail)
-        todo = [s for s in stems if s not in known]
-        known.update(zip(todo, self._encode(todo), strict=True))
+            if tail or stem != w:
+                parts.append((w, stem, tail))
+        todo = [s for s in stems if s not in known and not self._taken_over(s)]
+        self._encode(todo)
         for w, stem, tail in parts:
             known[w] = known[stem] + known[tail] if tail else known[stem]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found: dict[str, bytes] = {}
-        letters = [w for w in words if w.isascii() and w.isalpha() and w.islower() or _LOWER.fullmatch(w)]
+    def _encode(self, words: list[str]) -> None:
+        known, letters, others = self.known, [], []
+        for w in words:
+            (letters if w.isascii() and w.isalpha() and w.islower() or _LOWER.fullmatch(w) else others).append(w)
         for i in range(0, len(letters), 1000):
             some = letters[i : i + 1000]
             ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some) and last[-1] == len(ids):
-                data, first = ids.tobytes(), [0, *last[:-1].tolist()]
-                found.update((w, data[4 * a : 4 * b]) for w, a, b in zip(some, first, last.tolist(), strict=True))
-        others = [w for w in words if w not in found]
-        found.update(zip(others, self._encode_any(others), strict=True))
-        return [found[w] for w in words]
+                data, ends = ids.tobytes(), (4 * last).tolist()
+                known.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+            else:
+                others += some
+        known.update(zip(others, self._encode_any(others), strict=True))
 
     def _encode_any(self, words: list[str]) -> list[bytes]:
         out = []
