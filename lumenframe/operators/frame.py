@@ -97,6 +97,20 @@ def with_row_number(df: DataFrame, keys: Sequence[Column], name: str = "row_idx"
     return rows.join(F.broadcast(sizes), "_p").select(*df.columns, (F.col("_b") + F.col("_i")).alias(name))
 
 
+def running_sums(df: DataFrame, keys: Sequence[Column], sums: dict[str, str]) -> DataFrame:
+    """Inclusive running sums of columns in the order of keys, which are to be distinct; `sums` maps a column to its sum's name.
+
+    As with_row_number: a window within each range partition, plus what the partitions before it add up to, a row each.
+    """
+    rows = cut(df.orderBy(*keys).withColumn("_m", F.monotonically_increasing_id())).withColumn("_p", F.shiftrightunsigned("_m", 33))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy("_p").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    bases = totals.select("_p", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = rows.select("*", *[F.sum(c).over(within).alias(f"_w_{c}") for c in sums])
+    return inside.join(F.broadcast(bases), "_p").select(*df.columns, *[(F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(name) for c, name in sums.items()])
+
+
 def join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str] | None = None, how: str = "inner", null_safe: bool = False) -> DataFrame:
     """Equi-join. Columns: all of the left, then the right ones that are not keys; names on both sides get _left and _right.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import graph
+from lumenframe.operators.frame import running_sums
 from lumenframe.operators.lineage import cut
 from lumenframe.operators.ml import nearest
 from lumenframe.operators.series import per_series, spec
@@ -61,8 +62,7 @@ def cox(df: DataFrame, time: str, event: str, columns: Sequence[str], rounds: in
         parts = {"s": risk} | {f"s{i}": risk * x[i] for i in range(k)} | {f"s{i}_{j}": risk * x[i] * x[j] for i in range(k) for j in range(i, k)}
         happened = F.col(event).cast("double")
         by = df.groupBy(F.col(time).alias("t")).agg(F.sum(happened).alias("d"), *[F.sum(happened * x[i]).alias(f"x{i}") for i in range(k)], *[F.sum(v).alias(n) for n, v in parts.items()])
-        w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-        at = by.select("d", *[f"x{i}" for i in range(k)], *[F.sum(n).over(w).alias(n) for n in parts]).filter("d > 0")
+        at = running_sums(by, [F.col("t").desc()], {n: f"run_{n}" for n in parts}).drop(*parts).withColumnsRenamed({f"run_{n}": n for n in parts}).filter("d > 0")
         mean = lambda i: F.col(f"s{i}") / F.col("s")
         one = at.agg(*[F.sum(F.col(f"x{i}") - F.col("d") * mean(i)).alias(f"g{i}") for i in range(k)], *[F.sum(F.col("d") * (F.col(f"s{i}_{j}") / F.col("s") - mean(i) * mean(j))).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
         step = np.linalg.solve(np.array([[one[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]), np.array([one[f"g{i}"] for i in range(k)]))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import special
-from lumenframe.operators.frame import with_row_number
+from lumenframe.operators.frame import running_sums, with_row_number
+from lumenframe.operators.lineage import cut
 
 
 def _f64(c: str | Column) -> Column:
@@ -73,17 +74,27 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b. Pairs are counted over distinct (a, b) with their counts, so it is for columns of few distinct values."""
-    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    x, y = cells.alias("x"), cells.alias("y")
-    sign = F.signum(F.col("x.a") - F.col("y.a")) * F.signum(F.col("x.b") - F.col("y.b"))
-    weight = F.col("x.n") * F.col("y.n")
-    pairs = x.join(y, (F.col("x.a") > F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.b") > F.col("y.b")))).agg(F.sum(weight * sign).alias("s"))
-    n = cells.agg(F.sum("n").alias("n"))
-    ties = lambda c, k: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(k))
-    one = pairs.crossJoin(n).crossJoin(ties("a", "ta")).crossJoin(ties("b", "tb"))
-    every = F.col("n") * (F.col("n") - 1) / 2
-    return one.select((F.coalesce("s", F.lit(0.0)) / F.sqrt((every - F.col("ta")) * (every - F.col("tb")))).alias("tau"))
+    """tau-b over the rows in which neither column is null; null where a column has one value only.
+
+    Concordant pairs are counted bit by bit of b's rank: two values of b first differ in one bit, so every pair is met in one
+    half-open block, where the rows below it in a are a running sum. All bits are one sort of the distinct (a, b) times the bits.
+    """
+    cells = cut(df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna().groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    codes = with_row_number(cells.select("b").distinct(), [F.col("b").asc()], "code")
+    bits = max(1, (codes.count() - 1).bit_length())
+    dealt = cells.join(codes, "b").select("a", "n", "code", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    upper = F.expr("shiftright(code, bit) & 1") == 1
+    blocks = dealt.groupBy("bit", F.expr("shiftright(code, bit + 1)").alias("block"), "a").agg(F.sum(F.when(upper, 0.0).otherwise(F.col("n"))).alias("low"), F.sum(F.when(upper, F.col("n")).otherwise(0.0)).alias("high"))
+    run = running_sums(blocks, [F.col("bit").asc(), F.col("block").asc(), F.col("a").asc()], {"low": "run"}).withColumn("below", F.col("run") - F.col("low"))
+    per_block = run.groupBy("bit", "block").agg((F.sum(F.col("high") * F.col("below")) - F.sum("high") * F.min("below")).alias("c"))
+    pairs = lambda t: F.col(t) * (F.col(t) - 1) / 2
+    ties = lambda c, k: cells.groupBy(*c).agg(F.sum("n").alias("t")).agg(F.coalesce(F.sum(pairs("t")), F.lit(0.0)).alias(k))
+    one = per_block.agg(F.sum("c").alias("c")).crossJoin(cells.agg(F.sum("n").alias("n")))
+    for c, k in ((["a"], "ta"), (["b"], "tb"), (["a", "b"], "tab")):
+        one = one.crossJoin(ties(c, k))
+    untied = pairs("n") - F.col("ta") - F.col("tb") + F.col("tab")
+    scale = F.sqrt((pairs("n") - F.col("ta")) * (pairs("n") - F.col("tb")))
+    return one.select(((2 * F.col("c") - untied) / F.nullif(scale, F.lit(0.0))).alias("tau"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -167,9 +178,8 @@ def ks_test(df: DataFrame, column: str, group: str, a, b) -> DataFrame:
     """statistic: the largest gap of the two groups' empirical distributions."""
     g = F.col(group)
     values = df.filter(g.isin(a, b)).groupBy(_f64(column).alias("x")).agg(F.count_if(g == a).alias("a"), F.count_if(g == b).alias("b"))
-    w, every = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    return values.select(gap.alias("gap")).agg(F.max("gap").alias("statistic"))
+    run = running_sums(values, [F.col("x").asc()], {"a": "ra", "b": "rb"}).crossJoin(values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))
+    return run.agg(F.max(F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb"))).alias("statistic"))
 
 
 def effect_sizes(df: DataFrame, column: str, group: str, a, b) -> DataFrame:
@@ -242,8 +252,7 @@ def log_rank(df: DataFrame, time: str, event: str, group: str, a) -> DataFrame:
     """statistic and p_value: group a's events against those expected, over the times of both groups."""
     mine = F.col(group) == a
     times = df.groupBy(F.col(time).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(mine).alias("na"), F.sum(F.col(event).cast("long")).alias("d"), F.sum(F.when(mine, F.col(event).cast("long")).otherwise(0)).alias("da"))
-    w = Window.orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    risk = times.select("d", "da", F.sum("n").over(w).alias("r"), F.sum("na").over(w).alias("ra")).filter("d > 0")
+    risk = running_sums(times, [F.col("t").desc()], {"n": "r", "na": "ra"}).filter("d > 0")
     share = F.col("ra") / F.col("r")
     one = risk.agg(F.sum("da").alias("o"), F.sum(F.col("d") * share).alias("e"), F.sum(F.when(F.col("r") > 1, F.col("d") * share * (1 - share) * (F.col("r") - F.col("d")) / (F.col("r") - 1)).otherwise(0.0)).alias("v"))
     got = one.select(((F.col("o") - F.col("e")) * (F.col("o") - F.col("e")) / F.col("v")).alias("statistic"))

@@ -113,6 +113,26 @@ def test_p_values(spark):
     assert stats.log_rank(df.withColumn("e", F.lit(1)), "v", "e", "g", "a").first().p_value < 1
 
 
+def test_running_sums(spark):
+    df = spark.range(0, 500, 1, 7).select(((F.col("id") * 37) % 500).alias("k"), (F.col("id") % 5).alias("v"))
+    total, want = 0, []
+    for k, v in sorted((r.k, r.v) for r in df.collect()):
+        total += v
+        want.append((k, v, total))
+    assert sorted(tuple(r) for r in frame.running_sums(df, [F.col("k").asc()], {"v": "run"}).collect()) == want
+    assert frame.running_sums(df.limit(0), [F.col("k").asc()], {"v": "run"}).count() == 0
+
+
+@pytest.mark.parametrize(("ka", "kb"), [(1000, 1000), (4, 7), (9, 2), (6, 1)])
+def test_kendall_counts_every_pair(spark, ka, kb):
+    rng = np.random.default_rng(ka + kb)
+    data = list(zip(rng.integers(0, ka, 120).tolist(), rng.integers(0, kb, 120).tolist(), strict=True))
+    got = stats.kendall(spark.createDataFrame([*data, (None, 3), (2, None)], "a int, b int"), "a", "b").first().tau
+    sign = [(np.sign(x[0] - y[0]), np.sign(x[1] - y[1])) for i, x in enumerate(data) for y in data[:i]]
+    scale = math.sqrt(sum(p != 0 for p, _ in sign) * sum(q != 0 for _, q in sign))
+    assert got is None if scale == 0 else got == pytest.approx(sum(p * q for p, q in sign) / scale)
+
+
 def test_models(spark):
     df = spark.range(200).selectExpr("id", "cast(id % 10 as double) AS x", "cast(id % 7 as double) AS z").withColumn("y", 2 * F.col("x") - F.col("z") + 5)
     assert np.allclose(ml.ridge(df, "y", ["x", "z"], 0.0), [5, 2, -1]) and np.allclose(stats.ols_many(df, "y", ["x", "z"]), [5, 2, -1])
