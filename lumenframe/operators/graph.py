@@ -94,6 +94,28 @@ def shortest_paths(edges: DataFrame, start, directed: bool = False, rounds: int
     raise RuntimeError("a negative cycle")
 
 
+def all_pairs_paths(edges: DataFrame, directed: bool = False, rounds: int = 64) -> DataFrame:
+    """(src, dst, distance) of all pairs with a path, each node to itself included; negative cycles raise RuntimeError.
+
+    Paths double in length each round: known distances are joined with themselves, the least of each pair stays. The result
+    has up to nodes^2 rows by nature.
+    """
+    links = edges.select("src", "dst", F.col("weight").cast("double").alias("distance"))
+    links = links if directed else links.unionAll(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance"))
+    least = lambda df: _cut(df.groupBy("src", "dst").agg(F.min("distance").alias("distance")))
+    known = least(links.unionAll(nodes(edges).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("distance"))))
+    for _ in range(rounds):
+        if not known.filter("src = dst AND distance < 0").isEmpty():
+            raise RuntimeError("a negative cycle")
+        on = known.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("distance").alias("further"))
+        new = least(known.join(on, "dst").select("src", F.col("end").alias("dst"), (F.col("distance") + F.col("further")).alias("distance")))
+        old = known.withColumnRenamed("distance", "before")
+        if new.join(old, ["src", "dst"], "left").filter("before IS NULL OR distance < before - 1e-12 * abs(before)").isEmpty():
+            return known
+        known = new
+    raise RuntimeError("paths did not settle")
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): in each round a node takes its neighbours' commonest label, the smallest of ties; all at once."""
     links = _cut(both_ways(edges.select("src", "dst")))

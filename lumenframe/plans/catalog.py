@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package; each has QUERIES (name -> function) and SQL (name -> DuckDB text).
-MODULES = ("relational", "statistics", "learning", "networks", "models", "sounds", "tensors", "formats", "learners")
+MODULES = ("relational", "statistics", "learning", "networks", "models", "sounds", "tensors", "formats", "learners", "numerics")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
