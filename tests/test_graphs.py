@@ -1,7 +1,10 @@
 """Graph queries on keys and sizes that the tables given don't have."""
 
+import random
+
 import duckdb
 
+from lumenframe.operators import graph
 from lumenframe.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -20,3 +23,35 @@ def test_components_of_nations_at_keys_of_any_size(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(con.execute(SQL["components_of_nations"]).fetchall(), key=repr)
     assert rows(QUERIES["components_of_nations"](spark, str(tmp_path)).select("node", "component")) == want
+
+
+def strong(pairs):
+    """Components by plain reachability."""
+    seen = {x: {x} for p in pairs for x in p}
+    grown = True
+    while grown:
+        grown = False
+        for a, b in pairs:
+            if not seen[b] <= seen[a]:
+                seen[a] |= seen[b]
+                grown = True
+    return sorted((a, min(b for b in seen[a] if a in seen[b])) for a in seen)
+
+
+def no_group_in_one_task(monkeypatch):
+    """Grouped pandas functions hold a group in one task's memory; with this they are an error."""
+    from pyspark.sql import GroupedData
+
+    def refuse(*_, **__):
+        raise AssertionError("a group in one task")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", refuse)
+
+
+def test_strong_components_without_a_component_in_one_task(spark, monkeypatch):
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 0), (2, 5), (5, 6), (6, 5), (6, 8), (8, 9), (7, 7), (9, 9)]
+    r = random.Random(3)
+    thin = [(r.randrange(300), r.randrange(300)) for _ in range(420)]
+    assert rows(graph.strong_components(spark.createDataFrame(thin, "src long, dst long"))) == sorted(strong(thin), key=repr)
+    no_group_in_one_task(monkeypatch)
+    assert rows(graph.strong_components(spark.createDataFrame(pairs, "src long, dst long"), small=-1)) == sorted(strong(pairs), key=repr)
