@@ -55,3 +55,15 @@ def test_strong_components_without_a_component_in_one_task(spark, monkeypatch):
     assert rows(graph.strong_components(spark.createDataFrame(thin, "src long, dst long"))) == sorted(strong(thin), key=repr)
     no_group_in_one_task(monkeypatch)
     assert rows(graph.strong_components(spark.createDataFrame(pairs, "src long, dst long"), small=-1)) == sorted(strong(pairs), key=repr)
+
+
+def test_matching_by_key_writes_no_links_out(spark, monkeypatch):
+    left = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "src long, nation int")
+    right = spark.createDataFrame([(1, 1), (8, 2), (9, None)], "dst long, nation int")
+    assert graph.matching_by_key(left, right, "nation").count() == 2  # node 2 has two keys
+    no_group_in_one_task(monkeypatch)
+    left = spark.createDataFrame([(i, i % 3) for i in range(3000)] + [(5000, 7), (5001, None)], "src long, nation int")
+    right = spark.createDataFrame([(i, 1) for i in range(1500)] + [(i, 2) for i in range(2000, 2400)] + [(9, None), (4000, 5)], "dst long, nation int")
+    got = graph.matching_by_key(left, right, "nation").collect()
+    assert len(got) == 1400 and len({r.src for r in got}) == len({r.dst for r in got}) == 1400
+    assert all(r.src % 3 == (1 if r.dst < 1500 else 2) for r in got)
