@@ -67,3 +67,26 @@ def test_matching_by_key_writes_no_links_out(spark, monkeypatch):
     got = graph.matching_by_key(left, right, "nation").collect()
     assert len(got) == 1400 and len({r.src for r in got}) == len({r.dst for r in got}) == 1400
     assert all(r.src % 3 == (1 if r.dst < 1500 else 2) for r in got)
+
+
+def cut_of(edges, source, sink):
+    """The least capacity of any cut, over all of them."""
+    others = sorted({x for a, b, _ in edges for x in (a, b)} - {source, sink})
+    sides = ({source, *(x for i, x in enumerate(others) if bits >> i & 1)} for bits in range(2 ** len(others)))
+    return min(sum(w for a, b, w in edges if a in side and b not in side) for side in sides)
+
+
+def test_max_flow_holds_only_the_ways_found_in_one_task(spark, monkeypatch):
+    held, inner = [], graph._flows
+    monkeypatch.setattr(graph, "_flows", lambda part, *ends: (held.append(part.count()), inner(part, *ends))[1])
+    r = random.Random(5)
+    edges = [(r.randrange(8), r.randrange(8), float(r.randrange(1, 6))) for _ in range(22)]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long, weight double")
+    assert graph.max_flow(frame(edges), 0, 7) == cut_of(edges, 0, 7)
+    # the way first found, 0-1-4-7, has to be given back in part
+    back = [(0, 1, 1.0), (1, 4, 1.0), (4, 7, 1.0), (0, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0), (1, 5, 1.0), (5, 6, 1.0), (6, 8, 1.0), (8, 7, 1.0)]
+    assert graph.max_flow(frame(back), 0, 7) == cut_of(back, 0, 7) == 2
+    held.clear()
+    wide = [(0, 1, 2.0), (1, 9, 3.0)] + [(1, i, 1.0) for i in range(10, 400)] + [(i, 9, 1.0) for i in range(10, 400)]
+    assert graph.max_flow(frame(wide), 0, 9) == 2 and max(held) == 2
+    assert graph.max_flow(frame(wide), 9, 0) == 0
