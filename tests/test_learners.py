@@ -126,3 +126,12 @@ def test_maps_and_isolation(spark):
     data = [(i, float(a), float(b)) for i, (a, b) in enumerate(r.normal(size=(500, 2)))] + [(1000, 9.0, 9.0), (1001, None, 1.0)]
     got = {x.id: x.anomaly_score for x in N.IsolationForest(["x", "y"], "id", 40, 128).fit_transform(spark.createDataFrame(data, "id long, x double, y double")).collect()}
     assert got[1001] is None and got[1000] == max(v for v in got.values() if v is not None) and got[1000] > 0.6
+
+
+def test_rows_of_equal_places_meet_once(spark):
+    points = [(i, float(i % 7), float(i % 3)) for i in range(300)] + [(900, None, 1.0), (None, 2.0, 2.0)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = N.within_radius(df, df.filter("id % 50 = 0"), "id", ["x", "y"], 1.5, digits=3)
+    want = [(q, i, round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 3)) for q, u, v in points if q is not None and q % 50 == 0 and u is not None for i, x, y in points if x is not None and (x - u) ** 2 + (y - v) ** 2 <= 2.25]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert {r["count"] for r in N._places(df, "id", ["x", "y"]).groupBy("x", "y").count().collect()} == {1}
