@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 
 from lumenframe.operators import graph
 from lumenframe.plans import catalog
@@ -90,3 +91,22 @@ def test_max_flow_holds_only_the_ways_found_in_one_task(spark, monkeypatch):
     wide = [(0, 1, 2.0), (1, 9, 3.0)] + [(1, i, 1.0) for i in range(10, 400)] + [(i, 9, 1.0) for i in range(10, 400)]
     assert graph.max_flow(frame(wide), 0, 9) == 2 and max(held) == 2
     assert graph.max_flow(frame(wide), 9, 0) == 0
+
+
+def test_betweenness_deals_a_component_over_tasks(spark):
+    r = random.Random(8)
+    dense = sorted({(r.randrange(90), r.randrange(90)) for _ in range(1500)})
+    pairs = dense + [(i, i + 1) for i in range(200, 240)] + [(300, 300), (400, 401)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()), near.setdefault(b, set())
+        if a != b:
+            near[a].add(b), near[b].add(a)
+    names = sorted(near)
+    lists = [[names.index(x) for x in near[v]] for v in names]
+    want = dict(zip(names, graph._queue_shares(lists, list(range(len(names)))), strict=True))
+    got = {x.node: x.betweenness for x in graph.betweenness(spark.createDataFrame(pairs, "src long, dst long"), batch=20).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    start = np.cumsum([0, *map(len, lists[:90])])
+    flat = np.array([x for v in lists[:90] for x in v], np.int32)
+    assert np.allclose(graph._level_shares(start, flat, np.arange(90)), [want[v] for v in names[:90]])
